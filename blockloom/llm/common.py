@@ -55,3 +55,14 @@ def split_words(text: Column, pattern: str = SPACE_RE, strip: str = SPACE_CHARS)
     """Words between matches of pattern; null and blank texts have none."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(strip))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, pattern))
+
+
+def held(make, *args):
+    """make(*args), kept for the life of a Python worker. What travels by value has no module to keep it in, so it hangs on sys."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_kept_by_workers", {})
+    key = (make.__name__, *args)
+    if key not in kept:
+        kept[key] = make(*args)
+    return kept[key]
