@@ -54,7 +54,7 @@ def heavy_digests(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def classes(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs, and row, its monotonically_increasing_id.
 
     Null texts are empty texts. Of equal texts the smallest doc_id stays, a null id last; of rows that repeat an id
     and its text just one is kept. An empty table gives an empty one. Other columns are not read.
@@ -69,11 +69,11 @@ def classes(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     light = rest.join(rest.groupBy("digest").agg(best, size), "digest")
     return heavy.unionByName(light).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256"), )
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256"), "row")
 
 
 def op3_exact_dedup(spark, sf_dir):
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("row")
 
 
 OP3_SQL = r"""
@@ -84,7 +84,6 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that classes() keeps, with all their columns."""
-    keep = classes(docs).filter("kept").groupBy("keep_id").count()
-    one = docs.join(keep.select(F.col("keep_id").alias("_keep_id")), docs["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return one
+    """The rows of docs that classes() keeps, with all their columns. docs is a stored table: its rows are told apart by their places."""
+    keep = classes(docs).filter("kept").select(F.col("row").alias("_row"))
+    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")).join(keep, "_row", "left_semi").select("doc.*")
