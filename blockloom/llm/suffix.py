@@ -92,14 +92,15 @@ def _anchored(texts: list[bytes]):
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, cores, counts = [], [], []
+        rows, cores, prints, twice = [], [], [], []
         for i, _, _, _, _, _, found in _anchored([t.as_py() for t in batch.column(1)]):
             v, n = np.unique(np.array(found, np.int64), return_counts=True)
             rows.append(np.full(len(v), batch.column(0)[i].as_py(), np.int64))
+            prints.append(np.full(len(v), batch.column(2)[i].as_py(), np.int64))
             cores.append(v)
-            counts.append(np.minimum(n, 2))
+            twice.append(n > 1)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, cores, counts)], ["row", "core", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, cores, prints, twice)], ["row", "core", "print", "twice"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +261,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     long_ = meta.filter(F.col("n_bytes") >= LENGTH)
     same = checkpoint(long_.groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("n_same")))
 
-    live = texts.select("row", "text").join(same.select("row"), "row")
-    cores = live.select("row", "text").mapInArrow(_cores, "row long, core long, n long")
-    repeated = cores.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core")
-    wanted = cores.join(repeated, "core", "left_semi").groupBy("row").agg(F.collect_list("core").alias("cores"))
+    # A core counts as repeated if texts that differ hold it, or one text does twice; equal texts do not make it so.
+    cores = texts.filter(F.octet_length("text") >= LENGTH).select("row", "text", F.xxhash64("text").alias("print")).mapInArrow(
+        _cores, "row long, core long, print long, twice boolean")
+    repeated = cores.groupBy("core").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.max("twice").alias("twice")).filter("twice or a <> b").select("core")
+    wanted = cores.select("row", "core").join(repeated, "core", "left_semi").groupBy("row").agg(F.collect_list("core").alias("cores")).join(same.select("row"), "row", "left_semi")
     wanted = checkpoint(wanted)
     suffixes = texts.select("row", "text").join(wanted, "row").select("row", "text", "cores").mapInArrow(
         _suffixes, "suffix binary, head binary, row long, place long, low int, high int, places array<long>")
