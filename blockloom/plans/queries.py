@@ -550,11 +550,11 @@ def chk_snap(spark, d):
 
 def _leaves(spark, d):
     """Leaves of up to 252 mappings, in key order, for each volume."""
-    m = V.thin_mappings(spark, d).withColumn("at", islands.div(F.col("thin_block"), 2000))
+    m = V.thin_mappings(spark, d).withColumn("at", islands.div(F.col("thin_block"), 400))
     return m.groupBy("dev_id", "at").agg(F.count("*").alias("nr_entries"), F.min("thin_block").alias("key_low"), F.max("thin_block").alias("key_high"))
 
 
-_LEAVES = ", n as (select dev_id, thin_block // 2000 as slot, count(*) as nr_entries, min(thin_block) as key_low, max(thin_block) as key_high from m group by all)\n"
+_LEAVES = ", n as (select dev_id, thin_block // 400 as slot, count(*) as nr_entries, min(thin_block) as key_low, max(thin_block) as key_high from m group by all)\n"
 
 
 @query(_LEAVES + "select dev_id, slot, nr_entries from n where nr_entries < 84")
@@ -563,9 +563,9 @@ def chk_underfull(spark, d):
     return check.underfull(x).select("dev_id", F.col("at").alias("slot"), "nr_entries")
 
 
-@query(_LEAVES + "select dev_id, slot from n where key_low < slot * 2000 + 1 or (slot < (select max(slot) from n k where k.dev_id = n.dev_id) and (select min(k.slot) from n k where k.dev_id = n.dev_id and k.slot > n.slot) * 2000 + 1 < key_high)")
+@query(_LEAVES + "select dev_id, slot from n where key_low < slot * 400 + 1 or (slot < (select max(slot) from n k where k.dev_id = n.dev_id) and (select min(k.slot) from n k where k.dev_id = n.dev_id and k.slot > n.slot) * 400 + 1 < key_high)")
 def chk_keyrange(spark, d):
-    x = _leaves(spark, d).select(F.col("dev_id").alias("parent"), F.col("at").alias("pos"), (F.col("at") * 2000 + 1).alias("parent_key"), "key_low", "key_high")
+    x = _leaves(spark, d).select(F.col("dev_id").alias("parent"), F.col("at").alias("pos"), (F.col("at") * 400 + 1).alias("parent_key"), "key_low", "key_high")
     return check.key_ranges(x).select(F.col("parent").alias("dev_id"), F.col("pos").alias("slot"))
 
 
