@@ -118,7 +118,9 @@ def quality(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     """The documents that pass, with their cleaned text; all columns of the input, n_chars brought up to date."""
-    whole = docs.select(F.struct("*").alias("row"), quality_columns(F.col("text"), max_lost).alias("q")).filter("q.kept")
+    # explode() of the verdicts that keep: a filter on the struct would be pushed below and compute it twice.
+    passed = F.filter(F.array(quality_columns(F.col("text"), max_lost)), lambda q: q["kept"])
+    whole = docs.select(F.struct("*").alias("row"), F.explode(passed).alias("q"))
     new = {"text": F.col("q.clean_text"), "n_chars": F.length("q.clean_text").cast("long")}
     return whole.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
