@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import codec, scalar
 from ..operators import cache, check, era, islands, rangejoin, repair, thin
+from ..sinks import text
+from ..streaming import era_tracker
 from . import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -631,3 +633,70 @@ def fn_div_up(spark, d):
 def fn_range(spark, d):
     r = scalar.parse_range(F.concat(F.col("o_orderkey").cast("string"), F.lit(".."), F.col("o_custkey").cast("string")))
     return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), r["begin"].alias("b"), r["end"].alias("e"))
+
+
+# --- codecs, sinks, streams ----------------------------------------------------------------------------------------
+
+@query("select k, x as values_, x as decoded from (select l_orderkey as k, list(l_partkey order by l_linenumber) as x from lineitem group by l_orderkey)", views=False)
+def fn_delta_enc(spark, d):
+    """Lists as steps, and back."""
+    x = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("values_"))
+    return x.select("k", "values_", codec.delta_decode(codec.delta_encode(F.col("values_"))).alias("decoded"))
+
+
+@query()
+def fn_crc32c(spark, d):
+    """Checksums of customers' names; rows only (tests hold known values)."""
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), codec.crc32c(F.col("c_custkey").cast("string").cast("binary")).alias("crc"))
+
+
+_RUNS = "(select dev_id, b as thin_begin, b + o as data_begin, n, map_time from " + runs_sql(_OFF, "dev_id, o, map_time", "thin_block") + ")"
+
+
+@query(f"""select '<superblock uuid="" time="6" transaction="7" version="2" data_block_size="128" nr_data_blocks="3000000">' as line union all select '</superblock>'
+union all select '  <device dev_id="' || dev_id || '" mapped_blocks="' || mapped_blocks || '" transaction="' || transaction_id || '" creation_time="' || creation_time || '" snap_time="' || snapshotted_time || '">' from d
+union all select '  </device>' from d
+union all select case when n = 1 then '    <single_mapping origin_block="' || thin_begin || '" data_block="' || data_begin || '" time="' || map_time || '"/>'
+ else '    <range_mapping origin_begin="' || thin_begin || '" data_begin="' || data_begin || '" length="' || n || '" time="' || map_time || '"/>' end from {_RUNS}""")
+def snk_thin_xml(spark, d):
+    sb = spark.range(1).selectExpr("'' as uuid", "6 as time", "7 as transaction", "2 as version", "128 as data_block_size", "3000000 as nr_data_blocks")
+    return text.thin_xml(sb, V.thin_devices(spark, d), thin.dump_runs(V.thin_mappings(spark, d)))
+
+
+@query(f"""select x as line from d, (select unnest(['device: ' || dev_id, 'mapped_blocks: ' || mapped_blocks, 'transaction: ' || transaction_id, 'creation time: ' || creation_time, 'snap time: ' || snapshotted_time, '']) as x, dev_id as i from d) u where d.dev_id = u.i
+union all select '    (' || thin_begin || '..' || (thin_begin + n - 1) || ') -> (' || data_begin || '..' || (data_begin + n - 1) || '), ' || map_time from {_RUNS}""")
+def snk_thin_hr(spark, d):
+    return text.thin_readable(V.thin_devices(spark, d), thin.dump_runs(V.thin_mappings(spark, d)))
+
+
+@query(_DELTA + "select '  <' || case kind when 'differ' then 'different' else kind end || ' begin=\"' || b || '\" length=\"' || n || '\"/>' as line from " + runs_sql("x", "kind", "thin_block"))
+def snk_delta_xml(spark, d):
+    return text.delta_xml(thin.delta(V.thin_mappings(spark, d), 1, 2))
+
+
+@query("""select '    <mapping cache_block="' || cblock || '" origin_block="' || oblock || '" dirty="' || case when is_dirty = 1 then 'true' else 'false' end || '"/>' as line from c where is_valid = 1
+union all select unnest(['<superblock uuid="" block_size="512" nr_cache_blocks="4096" policy="smq" hint_width="4">', '  <mappings>', '  </mappings>', '  <hints>', '  </hints>', '</superblock>'])""")
+def snk_cache_xml(spark, d):
+    sb = spark.range(1).selectExpr("'' as uuid", "512 as block_size", "4096 as nr_cache_blocks", "'smq' as policy", "4 as hint_width")
+    return text.cache_xml(sb, cache.valid(V.cache_mappings(spark, d)), spark.createDataFrame([], "cblock long, hint binary"))
+
+
+@query("""select '    <marked block_begin="' || b || '" len="' || n || '"/>' as line from """ + runs_sql("ws", "era", "block") + """
+union all select '    <era block="' || block || '" era="' || era || '"/>' from ea
+union all select '  <writeset era="' || era || '" nr_bits="2000">' from (select distinct era from ws) union all select '  </writeset>' from (select distinct era from ws)
+union all select unnest(['<superblock uuid="" block_size="128" nr_blocks="2000" current_era="31">', '  <era_array>', '  </era_array>', '</superblock>'])""")
+def snk_era_xml(spark, d):
+    sb = spark.range(1).selectExpr("'' as uuid", "128 as block_size", "2000 as nr_blocks", "31 as current_era")
+    w = V.era_writesets(spark, d)
+    return text.era_xml(sb, w.select("era", F.lit(2000).alias("nr_bits")).distinct(), era.marked_ranges(w), V.era_array(spark, d))
+
+
+@query(", t as (select d.dev_id as dev, count(*) as mapped from d join m on d.dev_id = m.dev_id group by d.dev_id), w as (select greatest(3, max(length(dev::varchar))) as a, greatest(6, max(length(mapped::varchar))) as b from t) select lpad('dev', a::int, ' ') || ' ' || lpad('mapped', b::int, ' ') || ' ' as line from w union all select lpad(dev::varchar, a::int, ' ') || ' ' || lpad(mapped::varchar, b::int, ' ') || ' ' from t, w")
+def snk_grid(spark, d):
+    return text.grid(thin.usage(V.thin_mappings(spark, d)).select(F.col("dev_id").alias("dev"), "mapped"), ["dev"])
+
+
+@query("select block, max(era) as era from buys group by block")
+def op_era_stream(spark, d):
+    """Newest era of each block, as the streaming tracker aggregates it."""
+    return era_tracker.newest_era(V._purchases(spark, d))
