@@ -637,11 +637,11 @@ def fn_range(spark, d):
 
 # --- codecs, sinks, streams ----------------------------------------------------------------------------------------
 
-@query("select k, x as values_, x as decoded from (select l_orderkey as k, list(l_partkey order by l_linenumber) as x from lineitem group by l_orderkey)", views=False)
+@query("select l_orderkey as k, array_to_string(list(l_partkey order by l_linenumber, l_partkey), ',') as decoded from lineitem group by l_orderkey", views=False)
 def fn_delta_enc(spark, d):
     """Lists as steps, and back."""
-    x = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("values_"))
-    return x.select("k", "values_", codec.delta_decode(codec.delta_encode(F.col("values_"))).alias("decoded"))
+    x = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("v"))
+    return x.select("k", F.array_join(codec.delta_decode(codec.delta_encode(F.col("v"))), ",").alias("decoded"))
 
 
 @query()
