@@ -13,15 +13,19 @@ def div(a: Column, b) -> Column:
 
 
 def stitch(runs: DataFrame, keys: list[str], bucket: int, first: list[str] = ()) -> DataFrame:
-    """Joins runs (begin, len) that meet at a bucket's end. At most two runs of each key and bucket are dealt anew."""
+    """Joins runs (begin, len) that meet at a bucket's end.
+
+    Only runs that touch a bucket's end, two for each key and bucket at most, are brought together by key; each of the
+    others is a group of its own. One pass, so what made the runs is not computed twice.
+    """
     end = F.col("begin") + F.col("len")
     touches = (F.col("begin") % bucket == 0) | (end % bucket == 0)
-    w = Window.partitionBy(*keys).orderBy("begin")
-    edge = runs.filter(touches).withColumn("_new", F.when(F.lag(end).over(w) == F.col("begin"), 0).otherwise(1))
-    edge = edge.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = edge.groupBy(*keys, "_run").agg(F.sum("len").alias("len"), F.min(F.struct("begin", *first)).alias("_first"))
-    joined = joined.select(*keys, F.col("_first.begin").alias("begin"), "len", *(F.col(f"_first.{c}").alias(c) for c in first))
-    return runs.filter(~touches).select(*keys, "begin", "len", *first).unionByName(joined)
+    x = runs.withColumn("_group", F.when(touches, F.lit(-1)).otherwise(F.col("begin")))
+    w = Window.partitionBy(*keys, "_group").orderBy("begin")
+    x = x.withColumn("_new", F.when(F.lag(end).over(w) == F.col("begin"), 0).otherwise(1))
+    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = x.groupBy(*keys, "_group", "_run").agg(F.sum("len").alias("len"), F.min(F.struct("begin", *first)).alias("_first"))
+    return joined.select(*keys, F.col("_first.begin").alias("begin"), "len", *(F.col(f"_first.{c}").alias(c) for c in first))
 
 
 def islands(df: DataFrame, keys: list[str], pos: str, first: list[str] = (), bucket: int = BUCKET) -> DataFrame:
