@@ -24,6 +24,8 @@ WINDOW = 256
 GRAM = 8
 #: Bytes that all strings with the same anchor share.
 CORE = LENGTH - WINDOW + 1
+#: Leading bytes by which suffixes are dealt out.
+LEAD = 8
 #: Bytes handled at once; anchors' places fit the low 24 bits of their keys.
 SEGMENT = 2 << 20
 PLACE = np.uint64(0xFFFFFF)
@@ -177,7 +179,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members share CORE bytes."""
         same: dict[tuple, list[int]] = {}
         for k in members:
-            suffix, head, _, _, low, high, _ = rows[k]
+            suffix, head, _, _, low, high, _, _ = rows[k]
             same.setdefault((low, high, head, suffix), []).append(k)
         known = []  # text around, least and most bytes before the anchor, starts' ends, whether settled, members
         for (low, high, head, suffix), own in same.items():
@@ -211,10 +213,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first = d
                 prev = d if d is not None else prev
 
+    # Classes at the bucket's ends, in the order by which suffixes were dealt out, may go on in the next bucket.
+    ends = [f((r[0][:LEAD], r[7]) for r in rows) for f in (min, max)]
     start = 0
     for k in range(1, len(order) + 1):
         if k == len(order) or rows[order[k]][0][:CORE] != rows[order[start]][0][:CORE]:
-            edge = start == 0 or k == len(order)
+            edge = (rows[order[start]][0][:LEAD], rows[order[start]][7]) in ends
             if edge or k - start > 1 or len(rows[order[start]][6]) > 1:
                 class_of(order[start:k], edge)
             start = k
@@ -269,7 +273,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     wanted = checkpoint(wanted)
     suffixes = texts.select("row", "text").join(wanted, "row").select("row", "text", "cores").mapInArrow(
         _suffixes, "suffix binary, head binary, row long, place long, low int, high int, places array<long>")
-    found = checkpoint(suffixes.repartitionByRange("suffix", "head", "row", "place").mapInArrow(_compare, "digest binary, many boolean, row long, low long, high long"))
+    # Splitters are short: a suffix's leading bytes, then a hash of its core, which keeps a class together, then its place, which cuts large classes.
+    dealt = suffixes.withColumn("lead", F.substring("suffix", 1, LEAD)).withColumn("core", F.xxhash64(F.substring("suffix", 1, CORE)))
+    found = checkpoint(dealt.repartitionByRange("lead", "core", "row", "place").drop("lead").mapInArrow(_compare, "digest binary, many boolean, row long, low long, high long"))
     for _ in range(2):  # the first search's shuffle files can go
         gc.collect()
         spark.sparkContext._jvm.System.gc()
