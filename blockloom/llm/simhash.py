@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import shingles
 from .common import checkpoint, table
 
 SEED = 42
@@ -233,7 +234,18 @@ def op10_simhash(spark, sf_dir):
 
 
 def keep_one(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; rows with a null id are kept, for nothing tells them apart."""
-    kept = groups(docs, width, bits).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
+    """The rows of docs whose id is the smallest of its group; rows with a null id are kept, for nothing tells them apart.
+
+    Groups are those of the fingerprints, joined where texts are alike in five-word shingles (similarity 0.8 or more):
+    such texts often differ in four to eleven bits, further than anchors can reach.
+    """
+    found = groups(docs.filter("doc_id is not null"), width, bits).groupBy("doc_id").agg(F.min("component_id").alias("head"))
+    found = checkpoint(found)
+    a, b = found.select(F.col("doc_id").alias("u"), F.col("head").alias("hu")), found.select(F.col("doc_id").alias("v"), F.col("head").alias("hv"))
+    edges = shingles.links(docs).join(a, "u").join(b, "v").filter("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct()
+    roots = components(edges)
+    # The least id of a component is its root.
+    below = roots.filter("node <> root").select(F.col("node").alias("_keep_id"))
+    kept = found.filter("doc_id = head").select(F.col("doc_id").alias("_keep_id")).join(below, "_keep_id", "left_anti")
     named = docs.filter("doc_id is not null").join(kept, docs["doc_id"].cast("long") == F.col("_keep_id"), "left_semi")
     return named.unionByName(docs.filter("doc_id is null"))
