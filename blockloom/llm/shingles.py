@@ -18,7 +18,7 @@ KEEP = 4096
 #: Members of a band that one comparison holds at a time (16 KB each at most).
 CELL = 1024
 SALTS = 16
-_ODD = [(0x9E3779B97F4A7C15 * (2 * t + 1)) % (1 << 64) | 1 for t in range(1, TABLES + 1)]
+_SALT = [(0x9E3779B97F4A7C15 * (t + 1)) % (1 << 64) for t in range(TABLES)]
 
 
 def shingle_hashes(text: str | None, width: int, hash64) -> np.ndarray:
@@ -37,8 +37,10 @@ def shingle_hashes(text: str | None, width: int, hash64) -> np.ndarray:
 def bands(hashes: np.ndarray) -> list[int]:
     """One value for each table: of the TAKE hashes that are least under the table's permutation."""
     out = []
-    for t, odd in enumerate(_ODD if len(hashes) else []):
-        mixed = hashes * np.uint64(odd)
+    for t, salt in enumerate(_SALT if len(hashes) else []):
+        mixed = (hashes ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD)  # bare multiples of a hash would be small together
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        mixed ^= mixed >> np.uint64(29)
         least = np.sort(np.partition(mixed, TAKE - 1)[:TAKE] if len(mixed) > TAKE else mixed)
         x = t + 1
         for v in least.tolist():
