@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +94,17 @@ def _anchored(texts: list[bytes]):
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cores of each text, over all its parts, and whether they are at two places in it."""
     for batch in batches:
         rows, cores, prints, twice = [], [], [], []
-        for i, _, _, _, _, _, found in _anchored([t.as_py() for t in batch.column(1)]):
-            v, n = np.unique(np.array(found, np.int64), return_counts=True)
+        for i, parts in groupby(_anchored([t.as_py() for t in batch.column(1)]), key=lambda x: x[0]):
+            places, found = [], []
+            for _, shift, _, at, _, _, hashes in parts:
+                places.append(np.array(at, np.int64) + shift)
+                found.append(np.array(hashes, np.int64))
+            # Two parts may share an anchor; it counts once.
+            _, once = np.unique(np.concatenate(places), return_index=True)
+            v, n = np.unique(np.concatenate(found)[once], return_counts=True)
             rows.append(np.full(len(v), batch.column(0)[i].as_py(), np.int64))
             prints.append(np.full(len(v), batch.column(2)[i].as_py(), np.int64))
             cores.append(v)

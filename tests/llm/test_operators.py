@@ -103,6 +103,24 @@ def test_suffix_across_many_buckets(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_suffix_across_parts_of_a_text(spark, tmp_path, monkeypatch):
+    """Repeats whose two places are in different parts of one long text; also without repeats, and with a part's end within one."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    once, edge = noise(430), noise(430)
+    texts = [noise(1500) + once + noise(6000) + once + noise(900), noise(9000), noise(3900) + edge + noise(5000) + edge + noise(10), noise(300)]
+    path = str(tmp_path / "long.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    size, expected = suffix.LENGTH, []
+    for t in texts:
+        seen = Counter(t[s : s + size] for s in range(len(t) - size + 1))
+        gone = {k for s in range(len(t) - size + 1) if seen[t[s : s + size]] > 1 for k in range(s, s + size)}
+        expected.append((len(gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()))
+    monkeypatch.setattr(suffix, "SEGMENT", 2048)
+    got = [(r.n_removed, r.kept_sha256) for r in suffix.remove_repeats(spark.read.parquet(path)).orderBy("doc_id").collect()]
+    assert got == expected and [n > 800 for n, _ in got] == [True, False, True, False]
+
+
 def test_multikey_quicksort():
     import numpy as np
 
