@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, written
 
@@ -14,9 +14,8 @@ WIDTH, THRESHOLD = 5, 0.8
 #: A band is equal for sets of similarity s with probability of about s^TAKE; one of TABLES is, at 0.8, with 0.998.
 TABLES, TAKE = 12, 4
 #: Least hashes that are kept of a set. Sets of no more shingles are compared exactly; of larger ones the similarity has a standard error of 0.006.
-KEEP = 4096
-#: Members of a band that one comparison holds at a time (16 KB each at most).
-CELL = 1024
+#: Members of a band that one comparison holds at a time, if they have KEEP shingles each on average at most (16 KB each); fewer if they have more.
+CELL, KEEP = 1024, 4096
 SALTS = 16
 _SALT = [(0x9E3779B97F4A7C15 * (t + 1)) % (1 << 64) for t in range(TABLES)]
 
@@ -68,16 +67,19 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, least binary, bands array<long>")
 
 
-def clusters(ids: np.ndarray, n: np.ndarray, least: list[bytes], threshold: float) -> np.ndarray:
-    """For each member the smallest id of its component. A member is compared with those only that are not yet in its component."""
+def clusters(ids: np.ndarray, n: np.ndarray, least: list[bytes], threshold: float, root: np.ndarray | None = None, first: int | None = None) -> np.ndarray:
+    """For each member the smallest id of its component. A member is compared with those only that are not yet in its component.
+
+    root has the components known before; with first, only that many members are compared with those after them.
+    """
     values = [np.frombuffer(b, "<u4") for b in least]
     size = np.array([len(v) for v in values])
     start = np.r_[0, np.cumsum(size)]
     flat = np.concatenate(values)
     owner = np.repeat(np.arange(len(ids)), size)
     last = np.array([v[-1] if len(v) and len(v) < k else 0xFFFFFFFF for v, k in zip(values, n)], np.int64)
-    root = ids.copy()
-    for i in range(len(ids) - 1):
+    root = (ids if root is None else root).copy()
+    for i in range(len(ids) - 1 if first is None else min(first, len(ids) - 1)):
         j = np.arange(i + 1, len(ids))
         j = j[(root[j] != root[i]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))]
         if not len(j) or not size[i]:
@@ -101,20 +103,21 @@ def clusters(ids: np.ndarray, n: np.ndarray, least: list[bytes], threshold: floa
 
 
 def _meet(threshold: float):
-    """Rows (band, cell, doc_id, n, least) in order of band and cell; (band, root, doc_id) of each member."""
+    """Rows (band, cell, doc_id, n, least, known, active) in order of band and cell: edges (root, doc_id) from the root known of a member to the one found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, out, waiting = [], None, [], 0
 
         def flush():
-            ids, n = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-            return np.full(len(ids), key[0], np.int64), clusters(ids, n, [x[2] for x in held], threshold), ids
+            held.sort(key=lambda x: not x[4])
+            ids, n, known = (np.array([x[k] for x in held], np.int64) for k in (0, 1, 3))
+            return np.full(len(ids), key[0], np.int64), clusters(ids, n, [x[2] for x in held], threshold, known, sum(x[4] for x in held)), known
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["band", "root", "doc_id"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if row[:2] != key:
                     if held:
                         out.append(flush())
@@ -133,29 +136,71 @@ def _meet(threshold: float):
 
 
 def _compared(members: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """(band, root, doc_id) of members (band, cell, doc_id)."""
-    full = members.join(prints.select("doc_id", "n", "least"), "doc_id").select("band", "cell", "doc_id", "n", "least")
+    """(band, root, doc_id) of members (band, cell, doc_id); with known and active, of their known roots, active members being compared with all others."""
+    if "known" not in members.columns:
+        members = members.withColumns({"known": F.col("doc_id"), "active": F.lit(True)})
+    full = members.join(prints.select("doc_id", "n", "least"), "doc_id").select("band", "cell", "doc_id", "n", "least", "known", "active")
     return full.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_meet(threshold), "band long, root long, doc_id long")
 
 
+def _cells(size: Column, weight: Column) -> Column:
+    """Cells for so many members with so many shingles together."""
+    return F.greatest(F.ceil(size / CELL), F.ceil(weight / (CELL * KEEP)))
+
+
+def _dealt(cells: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "band", F.lit(salt)), cells)
+
+
+def _rest(members: DataFrame, pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """Edges between the components that pairs leave in bands of several cells (members: band, cells, cell, doc_id, n).
+
+    Members outside a band's largest component meet all that are not in theirs: each cell of the first with each cell of the band, as a task of its own.
+    """
+    from .simhash import components
+
+    roots = components(pairs.select(F.least("root", "doc_id").alias("u"), F.greatest("root", "doc_id").alias("v")).distinct())
+    at = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "cells", "cell", "doc_id", "n", F.coalesce("root", "doc_id").alias("known"))
+    at = checkpoint(at)
+    count = at.groupBy("band", "known").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    whole = count.groupBy("band").agg(F.max(F.struct("size", "weight", "known")).alias("stay"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    left = F.col("size") - F.col("stay.size"), F.col("weight") - F.col("stay.weight")
+    # At most one band for CELL members, so few rows.
+    open_ = checkpoint(whole.filter(left[0] > 0).select("band", F.col("stay.known").alias("stay"), _cells(*left).alias("rests")))
+    at = at.join(F.broadcast(open_), "band")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    task = lambda i, j: (i * (1 << 31) + j).alias("cell")
+    active = at.filter("known <> stay").withColumn("i", _dealt(F.col("rests"), 2)).withColumn("j", upto(F.col("cells")))
+    others = at.withColumn("i", upto(F.col("rests")))
+    met = active.select("band", task(F.col("i"), F.col("j")), "doc_id", "known", F.lit(True).alias("active")).unionByName(
+        others.select("band", task(F.col("i"), F.col("cell")), "doc_id", "known", F.lit(False).alias("active")))
+    return _compared(met, prints, threshold)
+
+
 def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (u < v, doc_ids) whose components are those of alike documents.
 
-    A band of over CELL members is dealt to cells; then one member of each component found in a cell meets those of the others.
+    A band of over CELL members is dealt to cells; then one member of each component found in a cell meets those of others, which
+    joins most of a large group of near copies. What then is in several components of a band is compared member by member.
     Null ids and texts without words have no links.
     """
     prints = written(sketches(docs.filter("doc_id is not null"), width).filter("n > 0"))
-    salted = prints.select("doc_id", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    shared = salted.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("doc_id").alias("least")).filter("size > 1")
-    shared = shared.groupBy("size", "who", "least").agg(F.min("band").alias("band"))  # of bands with the same members one is enough
-    shared = shared.select("band", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = prints.select("doc_id", "n", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    shared = salted.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("doc_id").alias("least"), F.sum("n").alias("weight")).filter("size > 1")
+    shared = shared.groupBy("size", "who", "least").agg(F.min(F.struct("band", "weight")).alias("b"))  # of bands with the same members one is enough
+    shared = shared.select("b.band", _cells(F.col("size"), F.col("b.weight")).alias("cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     dealt = salted.join(shared, ["band", "salt"])
-    cell = F.pmod(F.xxhash64("doc_id", "band"), F.ceil(F.col("size") / CELL))
-    members = checkpoint(dealt.select("band", cell.alias("cell"), "doc_id", "size"))
-    first = checkpoint(_compared(members, prints, threshold))
-    # The heads of large bands meet once more.
-    large = members.filter(F.col("size") > CELL).select("band").distinct()
-    heads = first.filter("root = doc_id").join(large, "band", "left_semi").select("band", F.lit(0).cast("long").alias("cell"), "doc_id")
-    second = _compared(heads, prints, threshold)
-    pairs = first.unionByName(second).filter("root <> doc_id")
+    members = checkpoint(dealt.select("band", _dealt(F.col("cells"), 0).alias("cell"), "doc_id", "n", "cells"))
+    first = checkpoint(_compared(members.select("band", "cell", "doc_id"), prints, threshold))
+    pairs = first.filter("root <> doc_id")
+    large = members.filter("cells > 1")
+    if not large.isEmpty():
+        bands_ = F.broadcast(large.select("band").distinct())
+        inner = first.join(bands_, "band", "left_semi")
+        heads = inner.filter("root = doc_id").join(prints.select("doc_id", "n"), "doc_id")
+        room = heads.groupBy("band").agg(_cells(F.count("*"), F.sum("n")).alias("cells"))
+        heads = heads.join(F.broadcast(room), "band").select("band", _dealt(F.col("cells"), 1).alias("cell"), "doc_id")
+        second = checkpoint(_compared(heads, prints, threshold).filter("root <> doc_id"))
+        third = _rest(large, inner.filter("root <> doc_id").unionByName(second), prints, threshold).filter("root <> doc_id")
+        pairs = pairs.unionByName(second).unionByName(third)
     return pairs.select(F.least("root", "doc_id").alias("u"), F.greatest("root", "doc_id").alias("v")).distinct()

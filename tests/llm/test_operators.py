@@ -367,6 +367,29 @@ def test_shingle_links(spark, monkeypatch, cell):
     assert {i: root[i] for i in of} == {sets[k][0]: sets[comp[k]][0] for k in range(len(sets))}
 
 
+def test_links_between_cells(spark, monkeypatch):
+    """Large bands of two groups joined by a single link, between members that are no heads; and unlike texts in the same bands."""
+    monkeypatch.setattr(shingles, "CELL", 8)
+    monkeypatch.setattr(shingles, "bands", lambda hashes: [len(hashes)])
+    rng = random.Random(9)
+    fresh = lambda n: ["w%d" % rng.randrange(1 << 40) for _ in range(n)]
+    rows = []
+    for g in range(6):
+        front, end, (x, y, z, x2, y2, z2) = fresh(150), fresh(8 + 10 * g), (fresh(14) for _ in range(6))
+        ways = [x + y + z, x2 + y2 + z2]  # alike to one of those of the bridge each, and only these are to one another
+        texts = [front + way + end[:-2] + fresh(2) for _ in range(40) for way in ways]
+        texts += [front[:100] + fresh(92 + len(end)) for _ in range(12)] + [front + x2 + y + z + end, front + x2 + y2 + z + end]
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    comp = components_of(sets, lambda a, b: alike(a[1], b[1]))
+    assert len({comp[i] for i in range(94)}) == 13
+    root = list(range(len(rows)))
+    for r in shingles.links(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        old, new = max(root[r.u], root[r.v]), min(root[r.u], root[r.v])
+        root = [new if x == old else x for x in root]
+    assert root == [sets[c][0] for c in comp]
+
+
 def test_long_sets_are_sampled():
     import numpy as np
 
