@@ -13,7 +13,6 @@ from .common import checkpoint, written
 WIDTH, THRESHOLD = 5, 0.8
 #: A band is equal for sets of similarity s with probability of about s^TAKE; one of TABLES is, at 0.8, with 0.998.
 TABLES, TAKE = 12, 4
-#: Least hashes that are kept of a set. Sets of no more shingles are compared exactly; of larger ones the similarity has a standard error of 0.006.
 #: Members of a band that one comparison holds at a time, if they have KEEP shingles each on average at most (16 KB each); fewer if they have more.
 CELL, KEEP = 1024, 4096
 SALTS = 16
@@ -50,7 +49,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (distinct shingles), least (up to KEEP hashes, 32 bits each, sorted), bands."""
+    """doc_id, n (distinct shingles), least (their hashes, 32 bits each, sorted), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -60,7 +59,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), width, xxh64_intdigest)
                 n.append(len(h))
-                least.append((h[:KEEP] >> np.uint64(32)).astype("<u4").tobytes())
+                least.append((h >> np.uint64(32)).astype("<u4").tobytes())
                 band.append(bands(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(least, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n", "least", "bands"])
 

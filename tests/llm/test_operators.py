@@ -390,6 +390,20 @@ def test_links_between_cells(spark, monkeypatch):
     assert root == [sets[c][0] for c in comp]
 
 
+def test_long_texts_are_judged_on_whole_sets(spark):
+    """Pairs of some 6000 shingles close to the threshold, as whole sets tell."""
+    rng = random.Random(13)
+    rows, near = [], set()
+    for k in range(40):
+        base = ["w%d" % rng.randrange(1 << 40) for _ in range(6000)]
+        n = 655 + (k % 2) * 30  # words of the tail that differ: similarities about 0.803 and 0.795
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-n] + ["v%d" % rng.randrange(1 << 40) for _ in range(n)]))]
+        if alike(shingle_set(rows[-2][1]), shingle_set(rows[-1][1])):
+            near.add((2 * k, 2 * k + 1))
+    assert len(near) == 20
+    assert {(r.u, r.v) for r in shingles.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == near
+
+
 def test_long_sets_are_sampled():
     import numpy as np
 
