@@ -86,14 +86,34 @@ def luhn_sum(digits: Column, shift: int) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def new(d: Column) -> Column:
-        size = F.length(d)
-        # 19 digits do not fit a long with their check digit's sum: the payload has 18 at most.
-        payload = permute_digits(F.substring(d, F.lit(1), size - 1), key, "card")
-        whole = let(payload, lambda p: F.concat(p, F.pmod(F.lit(10) - F.pmod(luhn_sum(p, 1), F.lit(10)), F.lit(10)).cast("string")))
-        return F.when(F.pmod(luhn_sum(d, 0), F.lit(10)) == 0, refill(m, whole))
-
-    return let(only_digits(m), new)
+    """The longest run of the digit groups that has 13 to 19 digits and a right Luhn sum changes; groups beside it (an expiry date, a code) stay."""
+    def new(run: Column) -> Column:
+        def whole(d: Column) -> Column:
+            # 19 digits do not fit a long with their check digit's sum: the payload has 18 at most.
+            payload = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+            return let(payload, lambda p: F.concat(p, F.pmod(F.lit(10) - F.pmod(luhn_sum(p, 1), F.lit(10)), F.lit(10)).cast("string")))
+
+        return let(only_digits(run), lambda d: refill(run, whole(d)))
+
+    def pick(parts: Column) -> Column:
+        n = F.size(parts)
+        text = lambda i, k: F.array_join(F.slice(parts, i, k), "")
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(
+            only_digits(text(i, k)).alias("d"), (-i).alias("at"), k.alias("k")))))
+        # A run of a wrong length has no sum to be right.
+        right = lambda r: F.when(F.length(r["d"]).between(13, 19), F.pmod(luhn_sum(r["d"], 0), F.lit(10)) == 0).otherwise(F.lit(False))
+        best = F.array_max(F.transform(F.filter(runs, right), lambda r: F.struct(F.length(r["d"]).alias("size"), r["at"].alias("at"), r["k"].alias("k"))))
+
+        def put(r: Column) -> Column:
+            i = -r["at"]
+            run = text(i, r["k"])
+            tail = F.when(run.rlike("[0-9]$"), F.lit("")).otherwise(F.substring(run, -1, 1))
+            changed = let(F.regexp_replace(run, r"[ \-]$", ""), new)
+            return F.when(r.isNotNull(), F.concat(text(F.lit(1), i - 1), changed, tail, text(i + r["k"], n)))
+
+        return let(best, put)
+
+    return let(F.regexp_extract_all(m, F.lit(r"[0-9]+[ \-]?"), F.lit(0)), pick)
 
 
 def _phone(m: Column, key: str) -> Column:

@@ -287,6 +287,15 @@ def test_pii(spark, docs):
     assert got[1] == f"x {got[2]} y" and got[3] == "2024-02-30" and got[4] == "4225039295678254" and got[5] is None
 
 
+def test_cards_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"card {card} so", f"card {card} 12/25", f"{card.replace(' ', '-')} 123", f"7 {card}", "card 4111 1111 1111 1112 12/25"]
+    got = [(r.n_found, r.kinds, r.text) for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    new = got[0][2][5:24]
+    assert new != card and len(got[0][2]) == len(texts[0])
+    assert got == [(1, "card", f"card {new} so"), (1, "card", f"card {new} 12/25"), (1, "card", f"{new.replace(' ', '-')} 123"), (1, "card", f"7 {new}"), (0, "", texts[4])]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
