@@ -647,7 +647,7 @@ def fn_delta_enc(spark, d):
 @query()
 def fn_crc32c(spark, d):
     """Checksums of customers' names; rows only (tests hold known values)."""
-    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), codec.crc32c(F.col("c_custkey").cast("string").cast("binary")).alias("crc"))
+    return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), codec.crc32c(F.col("c_name").cast("binary")).alias("crc"))
 
 
 _RUNS = "(select dev_id, b as thin_begin, b + o as data_begin, n, map_time from " + runs_sql(_OFF, "dev_id, o, map_time", "thin_block") + ")"

@@ -40,6 +40,19 @@ def test_query(spark, db, name):
     assert plain([tuple(x) for x in df.collect()], df.columns) == plain(r.fetchall(), r.columns)
 
 
+def test_crc32c_of_names(spark):
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = (c >> 1) ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    names = spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_name").collect()
+    assert {(r.k, r.crc) for r in QUERIES["fn_crc32c"](spark, DATA).collect()} == {(r.c_custkey, crc(r.c_name.encode())) for r in names}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())
