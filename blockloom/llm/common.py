@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share, spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this machine."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="shared-")
         shared_dir.own = found
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -35,9 +38,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, reread. For frames too wide for checkpoint()."""
+    """The rows as a Parquet table in the shared folder, reread; it goes when the driver ends. For frames too wide for checkpoint()."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

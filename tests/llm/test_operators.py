@@ -76,22 +76,50 @@ def test_clashing_columns(spark, docs, name, tmp_path):
         assert out.columns == few.columns
 
 
-def test_suffix(docs):
-    size, texts = suffix.LENGTH, [(i, (t or "").encode()) for i, t, *_ in corpus()]
-    seen = Counter(b[s : s + size] for _, b in texts for s in range(len(b) - size + 1))
-    expected = []
-    for i, b in texts:
+def repeats(texts, size):
+    """For each text the runs of bytes that strings of `size` bytes cover that start elsewhere too."""
+    seen, out = Counter(b[s : s + size] for b in texts for s in range(len(b) - size + 1)), []
+    for b in texts:
         gone = bytearray(len(b))
         for s in range(len(b) - size + 1):
             if seen[b[s : s + size]] > 1:
                 gone[s : s + size] = b"\1" * size
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        expected.append((i, len(b), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-    assert rows_of(suffix.remove_repeats(docs)) == ordered(expected)
+        out.append([m.span() for m in re.finditer(b"\1+", gone)])
+    return out
+
+
+def suffix_expected(texts):
+    """n_bytes to passage_words of each text, by brute force."""
+    out = []
+    for b, gone, short in zip(texts, repeats(texts, suffix.LENGTH), repeats(texts, suffix.SHORT)):
+        kept = bytes(x for k, x in enumerate(b) if not any(lo <= k < hi for lo, hi in gone))
+        words = [n for lo, hi in short if (n := len(b[lo:hi].split())) >= suffix.WORDS]
+        out.append((len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(words), sum(words)))
+    return out
+
+
+def test_suffix(docs):
+    expected = suffix_expected([(t or "").encode() for _, t, *_ in corpus()])
+    assert rows_of(suffix.remove_repeats(docs)) == ordered([(r[0], *x) for r, x in zip(corpus(), expected)])
     kept = suffix.remove_repeats(docs, with_text=True).collect()
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in kept)
 
 
+def test_suffix_passages_under_400_bytes(spark, tmp_path):
+    """Shared strings of every length around both sizes, many members of a class, with what is before and after them alike or not."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice(["ab", "the", "of", "river", "stone"]) + str(rng.randrange(90)) for _ in range(n))
+    shared = [prose(90)[:n] for n in (250, 256, 257, 300, 390, 399, 400, 401, 430)]
+    texts = [prose(rng.randrange(30, 90)) + p + prose(rng.randrange(30, 90)) for p in shared for _ in range(2)]
+    hot = prose(70)
+    texts += [prose(rng.randrange(0, 25)) + hot[rng.randrange(60) :] + prose(rng.randrange(25)) for _ in range(40)] + [hot[:280], hot[:280], hot[:300], "z " * 150]
+    path = str(tmp_path / "p.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    expected = suffix_expected([t.encode() for t in texts])
+    assert [tuple(r)[1:] for r in suffix.remove_repeats(spark.read.parquet(path)).orderBy("doc_id").collect()] == expected
+    assert sum(p > 0 and n == 0 for _, n, _, _, p, _ in expected) >= 6
+
+
 def test_suffix_across_many_buckets(spark, docs):
     one = rows_of(suffix.remove_repeats(docs))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -111,14 +139,10 @@ def test_suffix_across_parts_of_a_text(spark, tmp_path, monkeypatch):
     texts = [noise(1500) + once + noise(6000) + once + noise(900), noise(9000), noise(3900) + edge + noise(5000) + edge + noise(10), noise(300)]
     path = str(tmp_path / "long.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
-    size, expected = suffix.LENGTH, []
-    for t in texts:
-        seen = Counter(t[s : s + size] for s in range(len(t) - size + 1))
-        gone = {k for s in range(len(t) - size + 1) if seen[t[s : s + size]] > 1 for k in range(s, s + size)}
-        expected.append((len(gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()))
+    expected = suffix_expected([t.encode() for t in texts])
     monkeypatch.setattr(suffix, "SEGMENT", 2048)
-    got = [(r.n_removed, r.kept_sha256) for r in suffix.remove_repeats(spark.read.parquet(path)).orderBy("doc_id").collect()]
-    assert got == expected and [n > 800 for n, _ in got] == [True, False, True, False]
+    got = [tuple(r)[1:] for r in suffix.remove_repeats(spark.read.parquet(path)).orderBy("doc_id").collect()]
+    assert got == expected and [x[1] > 800 for x in got] == [True, False, True, False]
 
 
 def test_multikey_quicksort():
