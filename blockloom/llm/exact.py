@@ -57,7 +57,7 @@ def classes(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs, and row, its monotonically_increasing_id.
 
     Null texts are empty texts. Of equal texts the smallest doc_id stays, a null id last; of rows that repeat an id
-    and its text just one is kept. An empty table gives an empty one. Other columns are not read.
+    and its text just one is kept. An empty table gives an empty one. Other columns are not read, and long texts move as their digests.
     """
     rows = checkpoint(docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")
@@ -85,5 +85,5 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that classes() keeps, with all their columns. docs is a stored table: its rows are told apart by their places."""
-    keep = classes(docs).filter("kept").select(F.col("row").alias("_row"))
-    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")).join(keep, "_row", "left_semi").select("doc.*")
+    gone = classes(docs).filter("not kept").select(F.col("row").alias("_row"))
+    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")).join(gone, "_row", "left_anti").select("doc.*")

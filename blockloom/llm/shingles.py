@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, written
 
+#: Sorensen-Dice similarity of two shingle sets, 2 |A and B| / (|A| + |B|); 0.8 is a Jaccard similarity of 2/3.
 WIDTH, THRESHOLD = 5, 0.8
-#: A band is equal for sets of similarity s with probability of about s^TAKE; one of TABLES is, at 0.8, with 0.998.
-TABLES, TAKE = 12, 4
+#: A band is equal for sets of Jaccard similarity s with probability of about s^TAKE; one of TABLES is, at 2/3, with 0.999.
+TABLES, TAKE = 20, 3
 #: Members of a band that one comparison holds at a time, if they have KEEP shingles each on average at most (16 KB each); fewer if they have more.
-CELL, KEEP = 1024, 4096
+CELL, KEEP = 512, 4096
 SALTS = 16
-_SALT = [(0x9E3779B97F4A7C15 * (t + 1)) % (1 << 64) for t in range(TABLES)]
+_SALT = np.array([(0x9E3779B97F4A7C15 * (t + 1)) % (1 << 64) for t in range(TABLES)], np.uint64)[:, None]
 
 
 def shingle_hashes(text: str | None, width: int, hash64) -> np.ndarray:
@@ -34,53 +35,55 @@ def shingle_hashes(text: str | None, width: int, hash64) -> np.ndarray:
 
 def bands(hashes: np.ndarray) -> list[int]:
     """One value for each table: of the TAKE hashes that are least under the table's permutation."""
-    out = []
-    for t, salt in enumerate(_SALT if len(hashes) else []):
-        mixed = (hashes ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD)  # bare multiples of a hash would be small together
+    if not len(hashes):
+        return []
+    least = None
+    for k in range(0, len(hashes), 1 << 15):  # tables x hashes at a time
+        mixed = (hashes[k : k + (1 << 15)] ^ _SALT) * np.uint64(0xFF51AFD7ED558CCD)  # bare multiples of a hash would be small together
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
         mixed ^= mixed >> np.uint64(29)
-        least = np.sort(np.partition(mixed, TAKE - 1)[:TAKE] if len(mixed) > TAKE else mixed)
-        x = t + 1
-        for v in least.tolist():
-            x = ((x ^ v) * 0xD6E8FEB86659FD93) % (1 << 64)
-            x ^= x >> 32
-        out.append(x - (1 << 64) if x >> 63 else x)
-    return out
+        mixed = mixed if least is None else np.concatenate([least, mixed], axis=1)
+        least = np.partition(mixed, TAKE - 1, axis=1)[:, :TAKE] if mixed.shape[1] > TAKE else mixed
+    x = np.arange(1, TABLES + 1, dtype=np.uint64)
+    for v in np.sort(least, axis=1).T:
+        x = (x ^ v) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x.view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (distinct shingles), least (their hashes, 32 bits each, sorted), bands."""
+    """doc_id, n (distinct shingles), shingles (their hashes, 32 bits each, sorted), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            n, least, band = [], [], []
+            n, sets, band = [], [], []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), width, xxh64_intdigest)
                 n.append(len(h))
-                least.append((h >> np.uint64(32)).astype("<u4").tobytes())
+                sets.append((h >> np.uint64(32)).astype("<u4").tobytes())
                 band.append(bands(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(least, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n", "least", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n", "shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, least binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, shingles binary, bands array<long>")
 
 
-def clusters(ids: np.ndarray, n: np.ndarray, least: list[bytes], threshold: float, root: np.ndarray | None = None, first: int | None = None) -> np.ndarray:
+def clusters(ids: np.ndarray, n: np.ndarray, sets: list[bytes], threshold: float, root: np.ndarray | None = None, first: int | None = None) -> np.ndarray:
     """For each member the smallest id of its component. A member is compared with those only that are not yet in its component.
 
     root has the components known before; with first, only that many members are compared with those after them.
     """
-    values = [np.frombuffer(b, "<u4") for b in least]
+    values = [np.frombuffer(b, "<u4") for b in sets]
     size = np.array([len(v) for v in values])
     start = np.r_[0, np.cumsum(size)]
     flat = np.concatenate(values)
     owner = np.repeat(np.arange(len(ids)), size)
-    last = np.array([v[-1] if len(v) and len(v) < k else 0xFFFFFFFF for v, k in zip(values, n)], np.int64)
+    least = round(1000 * threshold)
     root = (ids if root is None else root).copy()
     for i in range(len(ids) - 1 if first is None else min(first, len(ids) - 1)):
         j = np.arange(i + 1, len(ids))
-        j = j[(root[j] != root[i]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))]
+        j = j[(root[j] != root[i]) & (2000 * np.minimum(n[i], n[j]) >= least * (n[i] + n[j]))]
         if not len(j) or not size[i]:
             continue
         mine = values[i]
@@ -89,12 +92,9 @@ def clusters(ids: np.ndarray, n: np.ndarray, least: list[bytes], threshold: floa
             of = np.repeat(j, size[j])
         else:
             other, of = flat[start[i + 1] :], owner[start[i + 1] :]
-        upto = np.minimum(last, last[i])
-        seen = other <= upto[of]
-        both = seen & (mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other)
+        both = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
         inter = np.bincount(of[both], minlength=len(ids))[j]
-        union = np.searchsorted(mine, upto[j], side="right") + np.bincount(of[seen], minlength=len(ids))[j] - inter
-        near = root[j[(inter >= threshold * union) & (union > 0)]]
+        near = root[j[2000 * inter >= least * (n[i] + n[j])]]
         if len(near):
             old = np.unique(np.r_[near, root[i]])
             root[np.isin(root, old)] = old[0]
@@ -102,7 +102,7 @@ def clusters(ids: np.ndarray, n: np.ndarray, least: list[bytes], threshold: floa
 
 
 def _meet(threshold: float):
-    """Rows (band, cell, doc_id, n, least, known, active) in order of band and cell: edges (root, doc_id) from the root known of a member to the one found."""
+    """Rows (band, cell, doc_id, n, shingles, known, active) in order of band and cell: edges (root, doc_id) from the root known of a member to the one found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, out, waiting = [], None, [], 0
@@ -138,7 +138,7 @@ def _compared(members: DataFrame, prints: DataFrame, threshold: float) -> DataFr
     """(band, root, doc_id) of members (band, cell, doc_id); with known and active, of their known roots, active members being compared with all others."""
     if "known" not in members.columns:
         members = members.withColumns({"known": F.col("doc_id"), "active": F.lit(True)})
-    full = members.join(prints.select("doc_id", "n", "least"), "doc_id").select("band", "cell", "doc_id", "n", "least", "known", "active")
+    full = members.join(prints.select("doc_id", "n", "shingles"), "doc_id").select("band", "cell", "doc_id", "n", "shingles", "known", "active")
     return full.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_meet(threshold), "band long, root long, doc_id long")
 
 
@@ -177,11 +177,12 @@ def _rest(members: DataFrame, pairs: DataFrame, prints: DataFrame, threshold: fl
 
 
 def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (u < v, doc_ids) whose components are those of alike documents.
+    """Edges (u < v, doc_ids) whose components are those of documents alike to the threshold.
 
     A band of over CELL members is dealt to cells; then one member of each component found in a cell meets those of others, which
     joins most of a large group of near copies. What then is in several components of a band is compared member by member.
-    Null ids and texts without words have no links.
+    Null texts, texts without words and null ids have no links; repeated rows are members like others. An empty table has no
+    links. Other columns are not read. A long text costs 4 bytes for each distinct shingle, whole.
     """
     prints = written(sketches(docs.filter("doc_id is not null"), width).filter("n > 0"))
     salted = prints.select("doc_id", "n", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))

@@ -233,19 +233,30 @@ def op10_simhash(spark, sf_dir):
     return groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; rows with a null id are kept, for nothing tells them apart.
+def alike(docs: DataFrame, width: int = 3, bits: int = 3, threshold: float = shingles.THRESHOLD) -> DataFrame:
+    """doc_id, head: the smallest doc_id of its group. docs has unique ids that are not null, and text.
 
-    Groups are those of the fingerprints, joined where texts are alike in five-word shingles (similarity 0.8 or more):
+    Groups are those of the fingerprints, joined where texts are alike in five-word shingles (shingles.THRESHOLD):
     such texts often differ in four to eleven bits, further than anchors can reach.
     """
-    found = groups(docs.filter("doc_id is not null"), width, bits).groupBy("doc_id").agg(F.min("component_id").alias("head"))
-    found = checkpoint(found)
+    found = checkpoint(groups(docs, width, bits).select("doc_id", F.col("component_id").alias("head")))
     a, b = found.select(F.col("doc_id").alias("u"), F.col("head").alias("hu")), found.select(F.col("doc_id").alias("v"), F.col("head").alias("hv"))
-    edges = shingles.links(docs).join(a, "u").join(b, "v").filter("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct()
+    edges = shingles.links(docs, threshold=threshold).join(a, "u").join(b, "v").filter("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct()
     roots = components(edges)
-    # The least id of a component is its root.
-    below = roots.filter("node <> root").select(F.col("node").alias("_keep_id"))
-    kept = found.filter("doc_id = head").select(F.col("doc_id").alias("_keep_id")).join(below, "_keep_id", "left_anti")
-    named = docs.filter("doc_id is not null").join(kept, docs["doc_id"].cast("long") == F.col("_keep_id"), "left_semi")
-    return named.unionByName(docs.filter("doc_id is null"))
+    return found.join(roots, found["head"] == roots["node"], "left").select("doc_id", F.coalesce("root", "head").alias("head"))
+
+
+def keep_one(docs: DataFrame, width: int = 3, bits: int = 3, threshold: float = shingles.THRESHOLD) -> DataFrame:
+    """Of each group of alike rows the one with the smallest doc_id, null ids last; of rows with the same id one.
+
+    Texts without words (null ones too) are alike. Long texts are judged whole. An empty table gives an empty one. All columns of the
+    input stay, whatever their names. docs is a stored table: its rows are told apart by their places.
+    """
+    at = F.monotonically_increasing_id()
+    found = alike(docs.select(at.alias("doc_id"), "text"), width, bits, threshold).select(F.col("doc_id").alias("row"), "head")
+    ids = docs.select(at.alias("row"), F.col("doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    named = checkpoint(found.join(ids, "row").select("head", order.alias("order")))
+    best = named.groupBy("head").agg(F.min("order").alias("best"), F.count("*").alias("size")).filter("size > 1").select("head", "best")
+    dropped = named.join(best, "head").filter("order <> best").select(F.col("order.row").alias("_row"))
+    return docs.select(F.struct("*").alias("doc"), at.alias("_row")).join(dropped, "_row", "left_anti").select("doc.*")
