@@ -11,7 +11,7 @@ from .common import checkpoint, split_words, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3.0
-BLOCK = 512
+BLOCK = 768
 TINY = 1e-9
 
 
@@ -45,66 +45,73 @@ def uniform(keys: np.ndarray) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
 
 
-def flight(p: list[float], size: list[float], draws: list[float], land: bool, carry: float = 0.0) -> list[float]:
-    """Cube method for one source: moves probabilities to 0 or 1 with the sums of p and of p * size unchanged.
+def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Flight of the cube method for units of one source: moves probabilities to 0 or 1 with the sums of p and of p * size unchanged.
 
-    Three open units at a time move along the null space of the two constraints; the direction is drawn so that the
-    mean of each p stays. At most two open units are left. land: those take the values that leave the sum of p * size,
-    with what it already misses by (carry), nearest to what it was; of equals, those that change the count least.
+    The direction is that of the first open unit, projected into the null space of the two constraints over all open ones, so
+    the others share in making good for it. The sense is drawn so that the mean of each p stays. Units come in order of falling
+    size: the large ones are settled while many are open, and the two that stay open at most are small.
     """
-    p, open_ = list(p), []
-
-    def move(units: list[int], u: list[float], draw: float) -> None:
-        up = min((1 - p[k]) / v if v > 0 else p[k] / -v for k, v in zip(units, u) if abs(v) > 0)
-        down = min(p[k] / v if v > 0 else (1 - p[k]) / -v for k, v in zip(units, u) if abs(v) > 0)
-        step = up if draw * (up + down) < down else -down
-        for k, v in zip(units, u):
-            p[k] += step * v
-            p[k] = 0.0 if p[k] < TINY else 1.0 if p[k] > 1 - TINY else p[k]
-
-    for i in range(len(p)):
-        if TINY <= p[i] <= 1 - TINY:
-            open_.append(i)
+    p = np.where(p < TINY, 0.0, np.where(p > 1 - TINY, 1.0, p))
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    moves = 0
+    while len(open_) > 1:
+        x = size[open_] - size[open_].mean()
+        square = x @ x
+        level = square <= TINY * max(1.0, size[open_[0]] ** 2) * len(open_)
+        for k in range(len(open_)):
+            u = np.full(len(open_), -1.0 / len(open_)) - (0.0 if level else x * (x[k] / square))
+            u[k] += 1.0
+            if np.abs(u).max() > 1e-7:
+                break
         else:
-            p[i] = round(p[i])
-        if len(open_) == 3:
-            a, b, c = (size[k] for k in open_)
-            u = [c - b, a - c, b - a]
-            scale = max(map(abs, u))
-            move(open_, [v / scale for v in u] if scale else [1.0, -1.0, 0.0], draws[i])
-            open_ = [k for k in open_ if 0.0 < p[k] < 1.0]
-    if land:
-        ways = product((0.0, 1.0), repeat=len(open_))
-        off = lambda way: (abs(carry + sum((x - p[k]) * size[k] for x, k in zip(way, open_))), abs(sum(way) - sum(p[k] for k in open_)))
-        for k, x in zip(open_, min(ways, key=off)):
-            p[k] = x
+            break  # no direction is left: one open unit, or two of unlike size
+        u /= np.abs(u).max()
+        u[np.abs(u) < 1e-12] = 0.0
+        q = p[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
+        q = q + (up if draws[moves % len(draws)] * (up + down) < down else -down) * u
+        p[open_] = np.where(q < TINY, 0.0, np.where(q > 1 - TINY, 1.0, q))
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+        moves += 1
     return p
 
 
-def by_size(p: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool, parts: int = 8) -> np.ndarray:
-    """The cube method over parts of falling size.
+def land(p: np.ndarray, size: np.ndarray, near: float = 0.001, more: int = 8) -> np.ndarray:
+    """The open units, two at most after a flight, take the values that leave the sum of p * size nearest to what it is; of equals, those that change the count least.
 
-    Each part but the last is landed, and the words by which that misses are taken from or given to the
-    probabilities still open, all smaller documents. So what is left open at the end, or is landed there, is small.
-    p, size and draws come in order of falling size.
+    Where that still misses by over `near` of the sum, as an outlier among few units may, up to `more` settled units of about the
+    size missed are tried with them.
     """
-    p, first = p.copy(), p.copy()
-    cuts = np.unique(np.linspace(0, len(p), (parts if len(p) >= 4 * parts else 1) + 1).astype(int))
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        last = hi == len(p)
-        p[lo:hi] = flight(p[lo:hi].tolist(), size[lo:hi].tolist(), draws[lo:hi].tolist(), land or not last, float(((p - first) * size).sum()))
-        if not last:
-            rest = np.arange(hi, len(p))[(p[hi:] > 0) & (p[hi:] < 1)]
-            if (words := size[rest].sum()) > 0:
-                p[rest] = np.clip(p[rest] - ((p - first) * size).sum() / words, 0.0, 1.0)
-    return p
-
-
-def settle(land: bool):
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if not len(open_):
+        return p
+
+    def tried(units: np.ndarray) -> tuple[np.ndarray, float]:
+        ways = np.array(list(product((0.0, 1.0), repeat=len(units)))) - p[units]
+        off, count = np.abs(ways @ size[units]), np.abs(ways.sum(1))
+        best = np.lexsort((count, np.round(off, 6)))[0]
+        out = p.copy()
+        out[units] = np.round(p[units] + ways[best])
+        return out, off[best]
+
+    out, off = tried(open_)
+    if off > near * (p @ size):
+        apart = np.abs(size - off)
+        apart[open_] = np.inf
+        out, _ = tried(np.r_[open_, np.argsort(apart, kind="stable")[: min(more, len(p) - len(open_))]])
+    return out
+
+
+def settle(last: bool):
     def run(pdf):
         pdf = pdf.sort_values(["key", "doc_id", "row"], kind="stable", na_position="last").sort_values("size", ascending=False, kind="stable")
         draws = uniform(pdf["key"].to_numpy(np.int64).view(np.uint64) ^ np.arange(len(pdf), dtype=np.uint64))
-        return pdf.assign(p=by_size(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), draws, land))
+        size = pdf["size"].to_numpy(float)
+        p = flight(pdf["p"].to_numpy(float), size, draws)
+        return pdf.assign(p=land(p, size) if last else p)
 
     return run
 
@@ -114,10 +121,12 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BL
 
     A document is taken floor(target / source_size) times, and once more with the fraction that is left, drawn by the
     cube method. Sources are cut into blocks of about `block` documents by a hash of the document, so a large source is
-    many groups; each block leaves two open units at most, which meet in the next round's blocks, until a source has a
-    single block. That one lands. Draws come from document hashes: reruns agree, whatever the partitions.
+    many groups; each block leaves two open units at most, its smallest, which meet in the next round's blocks, until a source has a
+    single block. Only that one lands: words and documents of a source miss by what a few documents hold, and until then
+    each document's chance is the one it had. Draws come from document hashes: reruns agree, whatever the partitions.
 
-    Null sources are one source, the last; null texts have size 0. Repeated rows count each. An empty table gives an empty one.
+    Null sources are one source, the last; null texts have size 0; a source without words is not taken. Documents of equal size are
+    ordered by a hash. Repeated rows count each. A long text is its number of words here. An empty table gives an empty one; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = checkpoint(docs.select(

@@ -288,12 +288,43 @@ def test_mixing_targets(spark):
 def test_cube_balances():
     import numpy as np
 
-    rng = np.random.default_rng(3)
-    size = np.sort(rng.integers(1, 2000, 600))[::-1].astype(float)
-    p = mixing.by_size(np.full(600, 0.37), size, rng.random(600), True)
-    assert set(p.tolist()) <= {0.0, 1.0} and abs((p * size).sum() / (0.37 * size.sum()) - 1) < 0.01
-    half = mixing.flight([0.4] * 50, [float(x) for x in range(50)], rng.random(50).tolist(), False)
-    assert sum(0 < x < 1 for x in half) <= 2 and sum(half) == pytest.approx(20) and sum(x * k for k, x in enumerate(half)) == pytest.approx(0.4 * 1225)
+    rng = np.random.default_rng(8)
+    for size in (np.sort(rng.lognormal(5, 1.5, 500).astype(int).astype(float))[::-1], np.full(60, 7.0), np.array([9000.0] + [5.0] * 40), np.r_[np.full(30, 4.0), np.zeros(30)]):
+        start = rng.uniform(0.05, 0.95, len(size)) if len(size) == 500 else np.full(len(size), 0.4)
+        p = mixing.flight(start, size, rng.random(len(size)))
+        open_ = np.flatnonzero((p > 0) & (p < 1))
+        assert len(open_) <= 2 and p.sum() == pytest.approx(start.sum()) and p @ size == pytest.approx(start @ size)
+        done = mixing.land(p, size)
+        assert set(done) <= {0.0, 1.0} and abs((done - start) @ size) <= size[open_].sum() + 1e-6
+        assert abs(done.sum() - start.sum()) <= 2 or size.max() == 9000
+
+
+def test_cube_keeps_each_chance():
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    size = np.sort(rng.lognormal(4, 1.2, 40))[::-1]
+    start = rng.uniform(0.1, 0.9, 40)
+    mean = np.mean([mixing.flight(start, size, rng.random(40)) for _ in range(4000)], axis=0)
+    assert np.abs(mean - start).max() < 0.04  # about five standard errors
+
+
+def test_mix_balances_words_and_documents(spark, tmp_path):
+    """Against the sums over whole sources, over seeds: words and documents within what two small documents hold; blocks of several rounds."""
+    rng = random.Random(6)
+    rows = [(k, "w " * max(1, int(rng.lognormvariate(4, 1.3))), "en", rng.choice("aaaaaabc"), None) for k in range(1500)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for seed in (1, 2):
+        by = {}
+        for r in mixing.copies(docs, block=100, seed=seed).collect():
+            x = by.setdefault(r.source, [r.target, r.source_size, 0, 0, 0])
+            x[2] += 1
+            x[3] += r.copies
+            x[4] += r.copies * r.size
+        assert len(by) == 3
+        for target, whole, n, taken, words in by.values():
+            assert abs(words - target) <= 0.002 * target + 10 and abs(taken - n * target / whole) <= 6
 
 
 def test_pii(spark, docs):
