@@ -55,7 +55,7 @@ def lower(t):
 
 ALL = {
     "suffix": suffix.remove_repeats, "exact": exact.classes, "bpe": bpe.encode, "counts": counts.count_tokens, "licenses": licenses.scan, "quality": quality.quality,
-    "mixing": mixing.copies, "pii": pii.redact, "simhash": simhash.groups, "keep_good": quality.keep_good, "drop_copies": exact.drop_copies, "keep_one": simhash.keep_one, "links": shingles.links, "mix": mixing.mix,
+    "mixing": mixing.copies, "pii": lambda d: pii.redact(d, "k"), "simhash": simhash.groups, "keep_good": quality.keep_good, "drop_copies": exact.drop_copies, "keep_one": simhash.keep_one, "links": shingles.links, "mix": mixing.mix,
 }
 
 
@@ -328,7 +328,7 @@ def test_mix_balances_words_and_documents(spark, tmp_path):
 
 
 def test_pii(spark, docs):
-    out = {r.doc_id: r for r in pii.redact(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
+    out = {r.doc_id: r for r in pii.redact(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), "k").collect()}
     texts = {i: t for i, t, *_ in corpus() if i is not None}
     for i, r in out.items():
         if r.n_found == 0:
@@ -338,14 +338,56 @@ def test_pii(spark, docs):
     for value in ("555-5657", "4225039295678253", "a.b@c.example.com", "10.1.2.3", "2024-02-29"):
         assert value not in found.text
     same = spark.createDataFrame([(1, "x 2024-02-29 y"), (2, "2024-02-29"), (3, "2024-02-30"), (4, "4225039295678254"), (5, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.redact(same).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(same, "k").collect()}
     assert got[1] == f"x {got[2]} y" and got[3] == "2024-02-30" and got[4] == "4225039295678254" and got[5] is None
 
 
+def luhn(d):
+    return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def test_pseudonyms_are_one_to_one_valid_and_linked(spark):
+    """Many values of each kind against what the formats allow."""
+    rng = random.Random(12)
+    day = lambda: (rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29))
+    days = [day() for _ in range(600)]
+    card = lambda d: next(d + str(c) for c in range(10) if luhn(d + str(c)))
+    name = lambda: "".join(rng.choice("abcXYZ019._-") for _ in range(rng.choice([1, 2, 5, 17, 40, 90])))
+    values = {
+        "iso_date": ["%04d-%02d-%02d" % d for d in days], "dot_date": ["%02d.%02d.%04d" % d[::-1] for d in days],
+        "slash_date": ["%02d/%02d/%04d" % (d[1], d[2], d[0]) for d in days] + ["%02d/%02d/%04d" % (d[2], d[1], d[0]) for d in days if d[2] > 12],
+        "ssn": ["%03d-%02d-%04d" % (rng.choice([*range(1, 666), *range(667, 900)]), rng.randrange(1, 100), rng.randrange(1, 10000)) for _ in range(800)],
+        "phone": ["+1 %03d %03d %04d" % (rng.randrange(200, 1000), rng.randrange(200, 1000), rng.randrange(10000)) for _ in range(500)] + ["+49 030 123 %04d" % k for k in range(300)],
+        "card": [card("".join(rng.choice("0123456789") for _ in range(rng.randrange(12, 19)))) for _ in range(300)],
+        "email": [name() + "@a%d.example.com" % rng.randrange(3) for _ in range(400)],
+        "ip": [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)],
+        "secret": ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(32, 65))) + "" for _ in range(300)],
+    }
+    shape = {
+        "iso_date": r"\d{4}-\d\d-\d\d", "dot_date": r"\d\d\.\d\d\.\d{4}", "slash_date": r"\d\d/\d\d/\d{4}", "ssn": r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}",
+        "card": r"\d{13,19}", "ip": r"\d+(\.\d+){3}", "secret": r"[0-9a-f]{32,64}", "email": r".+@a\d\.example\.com", "phone": r"\+\d+ \d{3} \d{3} \d{4}",
+    }
+    rows = [(k, v) for k in values for v in sorted(set(values[k]))]
+    new = dict(zip(rows, [(r.kinds, r.text) for r in pii.redact(spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows)], "doc_id long, text string").repartition(8), "k").orderBy("doc_id").collect()]))
+    for kind in values:
+        own = [(v, t) for (k, v), (found, t) in new.items() if k == kind]
+        assert all(new[kind, v][0] == kind for v, _ in own), kind
+        assert len({t for _, t in own}) == len(own), kind
+        assert all(re.fullmatch(shape[kind], t) and len(t) == len(v) or kind == "ip" for v, t in own), kind
+    assert all(luhn(t) for (k, _), (_, t) in new.items() if k == "card")
+    assert all(re.match(r"\+1 [2-9]\d\d [2-9]", t) for (k, v), (_, t) in new.items() if k == "phone" and v.startswith("+1 "))
+    assert all((v > "12") == (t > "12") or v[:2] == "12" or t[:2] == "12" for (k, v), (_, t) in new.items() if k == "slash_date")
+    for y, m, d in days:
+        one = new["iso_date", "%04d-%02d-%02d" % (y, m, d)][1]
+        assert one.split("-")[::-1] == new["dot_date", "%02d.%02d.%04d" % (d, m, y)][1].split(".")
+    pair = [r.text for r in pii.redact(spark.createDataFrame([(1, "+1 555 223 4567"), (2, "(555) 223-4567"), (3, "x" * 3_000_000 + " (555) 223-4567")], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert re.sub(r"\D", "", pair[0])[1:] == re.sub(r"\D", "", pair[1]) and pair[2].endswith(pair[1])
+
+
 def test_cards_beside_other_digits(spark):
     card = "4111 1111 1111 1111"
     texts = [f"card {card} so", f"card {card} 12/25", f"{card.replace(' ', '-')} 123", f"7 {card}", "card 4111 1111 1111 1112 12/25"]
-    got = [(r.n_found, r.kinds, r.text) for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [(r.n_found, r.kinds, r.text) for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     new = got[0][2][5:24]
     assert new != card and len(got[0][2]) == len(texts[0])
     assert got == [(1, "card", f"card {new} so"), (1, "card", f"card {new} 12/25"), (1, "card", f"{new.replace(' ', '-')} 123"), (1, "card", f"7 {new}"), (0, "", texts[4])]
