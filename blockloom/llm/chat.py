@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import let, table
+from .common import checkpoint, table
 
 #: Marks around a turn (fixed values of the output format).
 TURN = ("<|", "|>\n", "\n<|end|>\n")
 
 
-def _digest(*parts: Column) -> Column:
-    return F.sha2(F.concat(*parts), 256)
+#: Parts of a prefix hash, 60 bits each.
+PARTS = 4
 
 
-def prefix_hashes(turns: Column) -> Column:
-    """Rolling digests: element k is that of turns 0..k, chained over the digest before it and the turn's role and text, each by its length."""
-    def step(state: Column, t: Column) -> Column:
-        role, text = t["role"], t["text"]
-        size = lambda c: F.coalesce(F.octet_length(c).cast("string"), F.lit("null"))
-        last = F.coalesce(F.get(state, F.size(state) - 1), F.lit(""))
-        return F.array_append(state, _digest(last, size(role), F.lit(":"), F.coalesce(role, F.lit("")), size(text), F.lit(":"), F.coalesce(text, F.lit(""))))
-
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+def turn_hash(place: Column, role: Column, text: Column) -> list[Column]:
+    """The parts of the SHA-256 of a turn and its place; role and text with their lengths, so nulls and empty ones differ."""
+    size = lambda c: F.coalesce(F.octet_length(c).cast("string"), F.lit("null"))
+    digest = F.sha2(F.concat_ws("|", place.cast("string"), size(role), size(text), F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))), 256)
+    return [F.conv(F.substring(digest, 16 * k + 1, 15), 16, 10).cast("long") for k in range(PARTS)]
 
 
 def render(turns: Column) -> Column:
@@ -36,21 +32,29 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by turn, nulls first, then role and text, and repeated rows are separate turns. A conversation
     is dropped if its whole turn list is a strict prefix of another's, or equal to that of a smaller conv_id (null is
-    the largest). Null roles and texts render empty but differ from empty ones. An empty table gives an empty one.
+    the largest). Null roles and texts render empty but differ from empty ones. An empty table gives an empty one; other columns are not read.
 
-    The turns are shuffled once, by conversation; everything after moves digests. Equal conversations meet in a partial
-    aggregate, and prefixes are made distinct before the anti-join, so no key of either join repeats.
+    The hash of a prefix rolls along the turns: each turn's hash, with its place in it, is xored to that of the turns before, so a
+    conversation costs in proportion to its turns however many they are. Equal conversations meet in a partial
+    aggregate, and prefixes are made distinct before the anti-join, so no key of either join repeats. Only kept conversations are
+    rendered; one is a single row then, whatever its length.
     """
-    turns = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))).alias("turns"))
-    hashed = turns.select("conv_id", prefix_hashes(F.col("turns")).alias("h"))
+    c = conversations.select(*(F.col(n).cast(t) for n, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
+    along = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = c.withColumn("place", F.row_number().over(along))
+    hashes = turn_hash(F.col("place"), F.col("role"), F.col("text"))
+    upto = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"h{k}" for k in range(PARTS)]
+    parts = placed.select("conv_id", "place", *(h.alias(n) for h, n in zip(hashes, names)))
+    after = F.lead("place").over(Window.partitionBy("conv_id").orderBy("place"))
+    rolled = checkpoint(parts.select("conv_id", "place", *(F.bit_xor(n).over(upto).alias(n) for n in names), after.isNull().alias("whole")))
     order = F.struct(F.col("conv_id").isNull().alias("last"), F.col("conv_id"))
-    final = hashed.select(order.alias("id"), F.size("h").alias("n"), F.element_at("h", -1).alias("digest"))
-    winners = final.groupBy("digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("n_same"))
-    prefixes = hashed.select(F.explode(F.slice("h", F.lit(1), F.size("h") - 1)).alias("digest")).distinct()
-    maximal = winners.join(prefixes, "digest", "left_anti").select(F.col("id.conv_id").alias("kept_id"), "n", "n_same")
-    return turns.join(maximal, turns.conv_id.eqNullSafe(maximal.kept_id)).select(
-        "conv_id", F.col("n").cast("long").alias("n_turns"), "n_same", render(F.col("turns")).alias("rendered"))
+    winners = rolled.filter("whole").groupBy("place", *names).agg(F.min(order).alias("id"), F.count("*").alias("n_same"))
+    prefixes = rolled.filter("not whole").select("place", *names).distinct()
+    maximal = winners.join(prefixes, ["place", *names], "left_anti").select(F.col("id.conv_id").alias("kept_id"), F.col("place").cast("long").alias("n_turns"), "n_same")
+    kept = c.join(maximal, c.conv_id.eqNullSafe(maximal.kept_id))
+    turns = kept.groupBy("conv_id", "n_turns", "n_same").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return turns.select("conv_id", "n_turns", "n_same", render(F.col("turns")).alias("rendered"))
 
 
 def op2_chat_format(spark, sf_dir):
