@@ -17,17 +17,27 @@ WORD_RE = r"[^\x20\x09-\x0D]"
 SYMBOL_RE = r"[#*$%&|<>]"
 #: Marks that flowing prose holds few of; a line rich in them fails the punctuation rule.
 MARK_RE = r"[#*$%&|<>!?~^=_{}\\@+/»›]"
-#: Whole lines of a site's navigation (fixed list).
-NAVIGATION = (
-    r"(?i)^\W*(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back to top|read more|"
-    r"skip to content|share|tweet|contact us|about us|site ?map|help|faq)(\W+(home|menu|log ?in|log ?out|sign ?in|sign ?up|"
-    r"register|search|next|previous|prev|share|tweet|contact|about|us|site ?map|help|faq))*\W*$"
+#: Entries of a site's navigation, in English, German, French and Spanish (fixed list).
+ENTRIES = (
+    "home", "menu", "log ?in", "log ?out", "sign ?in", "sign ?up", "register", "search", "next", "previous", "prev", "back to top", "read more",
+    "skip to content", "share", "tweet", "contact us", "contact", "about us", "about", "us", "site ?map", "help", "faq",
+    "startseite", "menü", "anmelden", "abmelden", "registrieren", "suche", "weiter", "zurück", "nach oben", "mehr lesen", "zum inhalt springen",
+    "teilen", "kontakt", "über uns", "hilfe", "impressum", "datenschutz",
+    "accueil", "connexion", "déconnexion", "inscription", "rechercher", "suivant", "précédent", "haut de page", "lire la suite", "aller au contenu",
+    "partager", "à propos", "plan du site", "aide", "mentions légales",
+    "inicio", "menú", "iniciar sesión", "cerrar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "leer más",
+    "saltar al contenido", "compartir", "contacto", "quiénes somos", "mapa del sitio", "ayuda", "aviso legal",
 )
-#: Sentences, in lower case, that sites repeat on each page (fixed list).
+#: Whole lines of such entries; a lone "us" or "about" is none.
+NAVIGATION = r"(?i)^\W*(" + "|".join(e for e in ENTRIES if e not in ("us", "about", "contact")) + r")(\W+(" + "|".join(ENTRIES) + r"))*\W*$"
+#: Sentences, in lower case, that sites repeat on each page, in the same languages (fixed list).
 BOILERPLATE = (
     "cookie policy", "use cookies", "uses cookies", "accept cookies", "accept all cookies", "privacy policy", "terms of use",
     "terms of service", "enable javascript", "javascript is disabled", "javascript is required",
     "subscribe to our newsletter", "click here to", "all content on this site", "all content on this page", "lorem ipsum",
+    "cookie-richtlinie", "verwendet cookies", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren", "newsletter abonnieren", "klicken sie hier",
+    "utilise des cookies", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "activer javascript", "abonnez-vous à notre newsletter", "cliquez ici",
+    "utiliza cookies", "aceptar cookies", "política de cookies", "política de privacidad", "términos de uso", "activar javascript", "suscríbete a nuestro boletín", "haga clic aquí",
 )
 
 
@@ -111,7 +121,7 @@ def quality(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     """doc_id, the contract's counts, base_failed, kept, lost_chars and clean_text (the lines that pass).
 
     A null text counts as empty, so it has no words and fails. Rows are judged one by one: repeated rows and
-    null ids each give a row. An empty table gives an empty one; other columns of the input are not read.
+    null ids each give a row. An empty table gives an empty one; other columns of the input are not read. Texts are judged whole, whatever their length.
     """
     return docs.select(F.col("doc_id").cast("long"), quality_columns(F.col("text"), max_lost).alias("q")).select("doc_id", "q.*")
 
@@ -127,3 +137,38 @@ def keep_good(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
 
 def op7_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+#: Line by line, and window by window.
+OP7_SQL = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+w as (select k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
+windows as (select k, i, array_to_string(words[i : i + 7], ' ') as win from (select k, words, unnest(range(1, len(words) - 6)) as i from w)),
+twice as (select k, i from windows join (select k, win from windows group by all having count(*) > 1) using (k, win)),
+covered as (select k, sum(least(8, coalesce(following - i, 8))) as n from (select k, i, lead(i) over (partition by k order by i) as following from twice) group by k),
+l as (
+  select k, line, length(line) as n, len(regexp_extract_all(line, {_sql_text(MARK_RE)})) as marks, len(regexp_extract_all(line, '[|»›]')) as bars,
+    regexp_extract_all(line, '[^\x20\x09-\x0D]+') as words, len(string_split(line, ' ')) as spaced, lower(line) as low
+  from (select k, unnest(string_split(text, chr(10))) as line from d)
+), judged as (
+  select k, line, words, (n >= 8 and marks > n * 0.1::double) or (marks >= 3 and bars >= 3) or (n <= 100 and regexp_matches(line, {_sql_text(NAVIGATION)}))
+    or (spaced <= 40 and ({" or ".join(f"contains(low, {_sql_text(p)})" for p in BOILERPLATE)})) as bad
+  from l
+), lines as (
+  select k, count(*) filter (len(words) > 0) - count(distinct line) filter (len(words) > 0) as n_dup_lines,
+    coalesce(sum(list_sum(list_transform(words, lambda x: length(x)))) filter (bad), 0) as lost_chars
+  from judged group by k
+), counted as (
+  select k, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars,
+    len(regexp_extract_all(text, '{SYMBOL_RE}')) as n_symbols, coalesce(n, 0) as n_repeat_words, n_dup_lines, lost_chars
+  from w left join covered using (k) join lines using (k)
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+  n_repeat_words::bigint as n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and lost_chars <= word_chars * 0.5::double as kept, lost_chars::bigint as lost_chars
+from counted
+"""

@@ -251,6 +251,38 @@ def test_licenses(docs):
     assert rows_of(licenses.scan(docs)) == ordered(expected)
 
 
+def test_licenses_with_hundreds_of_templates(spark):
+    """Blocks and templates of the same words, many close to the threshold, against every pair."""
+    rng = random.Random(3)
+    words = ["w%d" % k for k in range(150)] + ["the", "of", "and"] * 10
+    templates = [("t%d" % (k % 200), " ".join(rng.choice(words) for _ in range(rng.choice([3, 6, 12, 30, 60])))) for k in range(300)]
+    rows = []
+    for i in range(160):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            t = rng.choice(templates)[1].split()
+            lines.append(" ".join(rng.sample(t, max(1, int(len(t) * rng.choice([0.7, 0.79, 0.8, 0.85, 1])))) + [rng.choice(words) for _ in range(rng.randrange(9))]))
+        rows.append((i, rng.choice(["\n", "\n\n"]).join(lines)))
+    for threshold in (0.8, 1.0, 0.5):
+        expected = {}
+        for i, t in rows:
+            blocks = [set(b.split()) for b in [*t.split("\n"), *(p for p in re.split(r"\n\s*\n", t) if "\n" in p)]]
+            met = [(label, len(b & want) / len(want)) for b in blocks for label, text in templates if 1000 * len(b & (want := set(text.split()))) >= round(threshold * 1000) * len(want)]
+            expected[i] = (",".join(sorted({x for x, _ in met})), max((c for _, c in met), default=0.0))
+        out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates, threshold)
+        assert {r.doc_id: (r.labels, r.score) for r in out.collect()} == expected
+    assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), []).agg({"score": "max"}).first()[0] == 0
+
+
+def test_long_chats(spark):
+    """Snapshots of one conversation of thousands of turns, and one that leaves it midway."""
+    said = [("user" if k % 2 else "assistant", "t%d" % (k % 7)) for k in range(6000)]
+    logs = {1: said[:5000], 2: said, 3: said[:1], 4: said[:3000] + [("user", "other")], 5: said}
+    rows = [(c, k, *t) for c, turns in logs.items() for k, t in enumerate(turns)]
+    out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {2, 4} and out[2].n_same == 2 and out[2].n_turns == 6000 and out[4].rendered.count("<|end|>") == 3001
+
+
 def test_quality(docs):
     expected = []
     for i, t, *_ in corpus():
