@@ -27,10 +27,12 @@ def unit_bytes(unit: Column) -> Column:
 
 def parse_size(text: Column) -> Column:
     """Bytes of '<number><unit>' as DECIMAL(38,0); sectors without a unit; null if malformed or over 64 bits."""
-    digits = F.regexp_extract(text, r"^([0-9]{1,18})([A-Za-z]*)$", 1)
-    unit = F.regexp_extract(text, r"^([0-9]{1,18})([A-Za-z]*)$", 2)
-    size = F.when(digits != "", digits.cast("decimal(18,0)")) * unit_bytes(F.when(unit == "", F.lit("s")).otherwise(unit))
-    return F.when(size <= F.lit(str(MOST)).cast("decimal(20,0)"), size.cast("decimal(38,0)"))
+    digits = F.regexp_extract(text, r"^0*([0-9]{1,20})([A-Za-z]*)$", 1)
+    unit = F.regexp_extract(text, r"^0*([0-9]{1,20})([A-Za-z]*)$", 2)
+    n, one = F.when(digits != "", digits.cast("decimal(20,0)")), unit_bytes(F.when(unit == "", F.lit("s")).otherwise(unit))
+    most = F.lit(str(MOST)).cast("decimal(20,0)")
+    # Compared by division first: the product itself may be too long.
+    return F.when(n <= F.floor(most / one), (n * one).cast("decimal(38,0)"))
 
 
 def pretty_size(n: Column) -> Column:
@@ -86,8 +88,8 @@ def cache_metadata_bytes(device_bytes: Column, block_bytes: Column, hint_bytes:
 
 
 def parse_range(text: Column) -> Column:
-    """Struct (begin, end) of 'a..b'; null if malformed or b <= a."""
-    p = r"^([0-9]{1,18})\.\.([0-9]{1,18})$"
-    ok = text.rlike(p)
-    a, b = (F.when(ok, F.regexp_extract(text, p, k).try_cast("long")) for k in (1, 2))
-    return F.when(ok & (b > a), F.struct(a.alias("begin"), b.alias("end")))
+    """Struct (begin, end) of 'a..b'; null if malformed, over 64 bits or b <= a. Ends of 2^63 or more, which LONG cannot hold, raise."""
+    p = r"^0*([0-9]{1,20})\.\.0*([0-9]{1,20})$"
+    a, b = (F.when(text.rlike(p), F.regexp_extract(text, p, k).cast("decimal(20,0)")) for k in (1, 2))
+    long = lambda x: F.when(x < F.lit(str(1 << 63)).cast("decimal(20,0)"), x.cast("long")).otherwise(F.raise_error(F.lit("number of 2^63 or more")).cast("long"))
+    return F.when((b > a) & (b <= F.lit(str(MOST)).cast("decimal(20,0)")), F.struct(long(a).alias("begin"), long(b).alias("end")))

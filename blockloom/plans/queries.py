@@ -88,10 +88,10 @@ def src_lookup(spark, d):
     return x.join(F.broadcast(x.agg(F.min("thin_block").alias("thin_block"))), "thin_block").select("data_block", F.col("map_time").alias("t"))
 
 
-@query("select block // 64 as w, block % 64 as b, era from ws where era = 20")
+@query("select block // 64 as w, block % 64 as b, era from ws")
 def src_bitset(spark, d):
-    """Bits of a writeset, packed in words of 64 and unpacked."""
-    words = V.era_writesets(spark, d).filter("era = 20").groupBy("era", islands.div(F.col("block"), 64).alias("w")).agg(
+    """Bits of writesets, packed in words of 64 and unpacked."""
+    words = V.era_writesets(spark, d).groupBy("era", islands.div(F.col("block"), 64).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("block") % 64).cast("int"))).alias("word"))
     bits = words.select("w", "era", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"))
     return bits.filter(F.call_function("bit_get", F.col("word"), F.col("b")) == 1).select("w", F.col("b").cast("long").alias("b"), "era")
@@ -391,12 +391,21 @@ def op_dup_oblock(spark, d):
     return cache.duplicate_origins(V.cache_mappings(spark, d))
 
 
-@query()
+@query(""", lv as (select dev_id as seq, thin_block // 64 as pos, list(struct_pack(t := thin_block, b := data_block) order by thin_block) as content from m group by all),
+lb as (select seq, pos, min(seq * 10000000 + pos) over (partition by content) as leaf from lv),
+x as (select *, lag(leaf) over w as p, lead(leaf) over w as q from lb window w as (partition by seq order by pos)),
+f as (select leaf, count(*) as uses, count(*) filter (p is null) as starts, count(*) filter (q is null) as stops, count(distinct p) as np, count(distinct q) as nq from x group by leaf),
+y as (select x.*, f.uses, f.starts > 0 or f.np <> 1 or coalesce(g.stops > 0 or g.nq <> 1, false) as head from x join f using (leaf) left join f g on x.p = g.leaf),
+z as (select *, count(*) filter (head) over (partition by seq order by pos) as run from y)
+select distinct first_value(leaf) over w as atom, pos - first_value(pos) over w as pos, leaf, uses > 1 as shared from z window w as (partition by seq, run order by pos)""")
 def op_atomic_seqs(spark, d):
-    """Leaf sequences of volumes: a leaf is a stretch of 64 thin blocks with its data; rows only (tests hold the small cases)."""
+    """Leaf sequences of volumes: a leaf is a stretch of 64 thin blocks with its data, named by the first place that has it."""
+    from pyspark.sql import Window
+
     m = V.thin_mappings(spark, d).withColumn("at", islands.div(F.col("thin_block"), 64))
-    leaves = m.groupBy("dev_id", "at").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("thin_block", "data_block")))).alias("leaf"))
-    return thin.atomic_sequences(leaves.select(F.col("dev_id").alias("seq"), F.col("at").alias("pos"), "leaf"))
+    leaves = m.groupBy("dev_id", "at").agg(F.sort_array(F.collect_list(F.struct("thin_block", "data_block"))).alias("content"))
+    named = leaves.withColumn("leaf", F.min(F.col("dev_id") * 10000000 + F.col("at")).over(Window.partitionBy("content")))
+    return thin.atomic_sequences(named.select(F.col("dev_id").alias("seq"), F.col("at").alias("pos"), "leaf"))
 
 
 # --- order, sets ---------------------------------------------------------------------------------------------------
@@ -559,10 +568,11 @@ def _leaves(spark, d):
 _LEAVES = ", n as (select dev_id, thin_block // 400 as slot, count(*) as nr_entries, min(thin_block) as key_low, max(thin_block) as key_high from m group by all)\n"
 
 
-@query(_LEAVES + "select dev_id, slot, nr_entries from n where nr_entries < 84")
+@query(_LEAVES + "select dev_id, slot, nr_entries from n where nr_entries < 585 // 3 and slot <> 0")
 def chk_underfull(spark, d):
-    x = _leaves(spark, d).withColumn("is_root", F.lit(False))
-    return check.underfull(x).select("dev_id", F.col("at").alias("slot"), "nr_entries")
+    """Leaves below a third of a room of 585; the first of each volume counts as its root."""
+    x = _leaves(spark, d).withColumn("is_root", F.col("at") == 0)
+    return check.underfull(x, 585).select("dev_id", F.col("at").alias("slot"), "nr_entries")
 
 
 @query(_LEAVES + "select dev_id, slot from n where key_low < slot * 400 + 1 or (slot < (select max(slot) from n k where k.dev_id = n.dev_id) and (select min(k.slot) from n k where k.dev_id = n.dev_id and k.slot > n.slot) * 400 + 1 < key_high)")
@@ -644,9 +654,11 @@ def fn_delta_enc(spark, d):
     return x.select("k", F.array_join(codec.delta_decode(codec.delta_encode(F.col("v"))), ",").alias("decoded"))
 
 
-@query()
+@query("""with t as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 2197175160) else c >> 1 end)) as steps)
+select c_custkey as k, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(c_name) + 1), lambda i: ascii(substr(c_name, i, 1))::bigint)),
+  lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8))) as crc from customer, t""", views=False)
 def fn_crc32c(spark, d):
-    """Checksums of customers' names; rows only (tests hold known values)."""
+    """Checksums of customers' names."""
     return V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), codec.crc32c(F.col("c_name").cast("binary")).alias("crc"))
 
 
@@ -700,3 +712,6 @@ def snk_grid(spark, d):
 def op_era_stream(spark, d):
     """Newest era of each block, as the streaming tracker aggregates it."""
     return era_tracker.newest_era(V._purchases(spark, d))
+
+
+from . import format_queries  # noqa: E402, F401  registers its queries here

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+#: Attributes that hold numbers only.
+NUMBERS = {"origin_block", "data_block", "time", "origin_begin", "data_begin", "length", "begin", "left_data_begin", "right_data_begin", "dev_id", "cache_block", "block", "era", "block_begin", "len"}
+
+
+def escaped(v: Column) -> Column:
+    """A value as it may stand in an attribute."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("\n", "&#10;"), ("\t", "&#9;")):
+        v = F.replace(v, F.lit(raw), F.lit(safe))
+    return v
 
 
 def element(tag: str, end: str = "/>", indent: int = 0, **attributes) -> Column:
     """An XML element with attributes in the order given; those that are null are left out."""
-    parts = [F.concat(F.lit(f' {k}="'), v.cast("string"), F.lit('"')) for k, v in attributes.items()]
+    parts = [F.concat(F.lit(f' {k}="'), v.cast("string") if k in NUMBERS else escaped(v.cast("string")), F.lit('"')) for k, v in attributes.items()]
     return F.concat(F.lit(" " * indent + f"<{tag}"), F.concat_ws("", *parts), F.lit(end))
 
 
@@ -56,14 +67,34 @@ def thin_readable(devices: DataFrame, runs: DataFrame) -> DataFrame:
 DELTA_TAGS = {"left_only": "left_only", "right_only": "right_only", "same": "same", "differ": "different"}
 
 
-def delta_xml(delta: DataFrame) -> DataFrame:
-    """Lines of a delta (kind, thin_begin, len)."""
+def delta_xml(delta: DataFrame, sb: DataFrame | None = None, left: int | None = None, right: int | None = None, verbose: bool = False) -> DataFrame:
+    """Lines of a delta (kind, thin_begin, len); with sb (uuid, time, transaction, data_block_size, nr_data_blocks) as a whole document.
+
+    verbose: each piece is a range with its data blocks (data_begin, or left_data_begin and right_data_begin), in an element for each
+    stretch of pieces of one kind.
+    """
     c = F.col
-    line = None
-    for kind, tag in DELTA_TAGS.items():
-        e = element(tag, indent=2, begin=c("thin_begin"), length=c("len"))
-        line = F.when(c("kind") == kind, e) if line is None else line.when(c("kind") == kind, e)
-    return _ordered(_at(delta, line, 0, c("thin_begin"), 0))
+    body = None
+    if verbose:
+        # A stretch begins where the kind changes; the pieces come in order of thin_begin.
+        w = Window.orderBy("thin_begin")
+        x = delta.withColumn("opens", ~c("kind").eqNullSafe(F.lag("kind").over(w))).withColumn("closes", ~c("kind").eqNullSafe(F.lead("kind").over(w)))
+        tag = F.element_at(F.create_map(*(F.lit(v) for kv in DELTA_TAGS.items() for v in kv)), c("kind"))
+        differ = element("range", indent=6, begin=c("thin_begin"), left_data_begin=c("left_data_begin"), right_data_begin=c("right_data_begin"), length=c("len"))
+        same = element("range", indent=6, begin=c("thin_begin"), data_begin=c("data_begin"), length=c("len"))
+        body = [_at(x.filter("opens"), F.concat(F.lit("    <"), tag, F.lit(">")), 1, c("thin_begin"), 0), _at(x, F.when(c("kind") == "differ", differ).otherwise(same), 1, c("thin_begin"), 1),
+                _at(x.filter("closes"), F.concat(F.lit("    </"), tag, F.lit(">")), 1, c("thin_begin"), 2)]
+    else:
+        line = None
+        for kind, tag in DELTA_TAGS.items():
+            e = element(tag, indent=2 if sb is None else 4, begin=c("thin_begin"), length=c("len"))
+            line = F.when(c("kind") == kind, e) if line is None else line.when(c("kind") == kind, e)
+        body = [_at(delta, line, 1, c("thin_begin"), 0)]
+    if sb is None:
+        return _ordered(*body)
+    head = element("superblock", ">", **{n: c(n) for n in ("uuid", "time", "transaction", "data_block_size", "nr_data_blocks")})
+    diff = element("diff", ">", 2, left=F.lit(left), right=F.lit(right))
+    return _ordered(_at(sb, head, 0, 0, 0), _at(sb, diff, 0, 1, 0), *body, _at(sb, F.lit("  </diff>"), 2, 0, 0), _at(sb, F.lit("</superblock>"), 3, 0, 0))
 
 
 def cache_xml(sb: DataFrame, mappings: DataFrame, hints: DataFrame) -> DataFrame:
@@ -76,14 +107,20 @@ def cache_xml(sb: DataFrame, mappings: DataFrame, hints: DataFrame) -> DataFrame
                     fixed("  <hints>", 2, 0), _at(hints, h, 2, 1, c("cblock")), fixed("  </hints>", 2, 2), fixed("</superblock>", 3, 0))
 
 
-def era_xml(sb: DataFrame, eras: DataFrame, marked: DataFrame, array: DataFrame) -> DataFrame:
-    """Compact form: marked ranges (era, begin, end)."""
+def era_xml(sb: DataFrame, eras: DataFrame, marked: DataFrame, array: DataFrame, compact: bool = True) -> DataFrame:
+    """Marked ranges (era, begin, end) or, if not compact, every bit of every writeset with its value."""
     c = F.col
     head = element("superblock", ">", uuid=c("uuid"), block_size=c("block_size"), nr_blocks=c("nr_blocks"), current_era=c("current_era"))
     ws = element("writeset", ">", 2, era=c("era"), nr_bits=c("nr_bits"))
     mk = element("marked", indent=4, block_begin=c("begin"), len=c("end") - c("begin"))
     fixed = lambda text, a: _at(sb, F.lit(text), a, 0, 0)
-    return _ordered(_at(sb, head, 0, 0, 0), _at(eras, ws, 1, c("era"), 0), _at(marked, mk, 1, c("era"), 1, c("begin")), _at(eras, F.lit("  </writeset>"), 1, c("era"), 2),
+    body = _at(marked, mk, 1, c("era"), 1, c("begin"))
+    if not compact:
+        places = lambda a, b: F.explode(F.sequence(a, b - 1)).alias("bit")
+        on = marked.select("era", places(c("begin"), c("end"))).withColumn("on", F.lit(True))
+        bits = eras.filter("nr_bits > 0").select("era", places(F.lit(0).cast("long"), c("nr_bits").cast("long"))).join(on, ["era", "bit"], "left")
+        body = _at(bits, element("bit", indent=4, block=c("bit"), value=F.coalesce("on", F.lit(False))), 1, c("era"), 1, c("bit"))
+    return _ordered(_at(sb, head, 0, 0, 0), _at(eras, ws, 1, c("era"), 0), body, _at(eras, F.lit("  </writeset>"), 1, c("era"), 2),
                     fixed("  <era_array>", 2), _at(array, element("era", indent=4, block=c("block"), era=c("era")), 3, 0, c("block")), fixed("  </era_array>", 4), fixed("</superblock>", 5))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 ATTRIBUTES = {
     "thin": {"superblock": (["uuid", "time", "transaction", "data_block_size", "nr_data_blocks"], ["flags", "version", "metadata_snap"]),
              "device": (["dev_id", "mapped_blocks", "transaction", "creation_time", "snap_time"], []), "def": (["name"], [])},
-    "cache": {"superblock": (["uuid", "block_size", "nr_cache_blocks", "policy", "hint_width"], [])},
+    "cache": {"superblock": (["uuid", "block_size", "nr_cache_blocks", "policy", "hint_width"], []), "mapping": (["cache_block", "origin_block", "dirty"], []), "hint": (["cache_block", "data"], [])},
     "era": {"superblock": (["uuid", "block_size", "nr_blocks", "current_era"], []), "writeset": (["era", "nr_bits"], [])},
 }
 TEXT = {"uuid", "policy", "name"}
@@ -47,9 +47,7 @@ def read_thin(spark: SparkSession, path: str, strict: bool = True) -> dict[str,
     """superblock, devices, runs (dev_id, ...), refs (dev_id, ref_name) and defs (def_name, ...) of a volume dump."""
     a = ATTRIBUTES["thin"]
     if strict:
-        for tag in a:
-            if bad := unknown_attributes(spark, path, "thin", tag):
-                raise ValueError(f"{tag}: unknown attributes {bad}")
+        _refuse_unknown(spark, path, "thin")
     dev = _rows(spark, path, "device", a["device"], f"ref array<struct<_name:string>>, {_MAPS}")
     defs = _rows(spark, path, "def", a["def"], _MAPS)
     return {
@@ -60,8 +58,16 @@ def read_thin(spark: SparkSession, path: str, strict: bool = True) -> dict[str,
     }
 
 
-def read_cache(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _refuse_unknown(spark: SparkSession, path: str, kind: str) -> None:
+    for tag in ATTRIBUTES[kind]:
+        if bad := unknown_attributes(spark, path, kind, tag):
+            raise ValueError(f"{tag}: unknown attributes {bad}")
+
+
+def read_cache(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
     """superblock, mappings, hints and discards of a cache dump."""
+    if strict:
+        _refuse_unknown(spark, path, "cache")
     a = ATTRIBUTES["cache"]["superblock"]
     load = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST").schema(schema).load(path)
     return {
@@ -72,8 +78,10 @@ def read_cache(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_era(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_era(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
     """superblock, writesets (era, block), eras (era, nr_bits) and array (block, era); both bits and marked ranges are read."""
+    if strict:
+        _refuse_unknown(spark, path, "era")
     a = ATTRIBUTES["era"]
     ws = _rows(spark, path, "writeset", a["writeset"], "bit array<struct<_block:bigint,_value:boolean>>, marked array<struct<_block_begin:bigint,_len:bigint>>")
     bits = ws.select(F.col("_era").alias("era"), F.explode("bit").alias("b")).filter("b._value").select("era", F.col("b._block").alias("block"))

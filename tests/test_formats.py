@@ -1,6 +1,7 @@
 """Scalars, codecs, XML round trips and binary images."""
 
 import struct
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -24,8 +25,8 @@ def test_sizes(spark):
 
 
 def test_units(spark):
-    rows = [("16", 8192), ("3b", 3), ("2KiB", 2048), ("2K", 2000), ("1m", 1 << 20), ("5exabyte", 5 * 10**18), ("16EiB", None), ("x", None), ("", None), ("4 k", None), ("1Kb", None)]
-    df = spark.createDataFrame(rows, "t string, n long").select("t", "n", scalar.parse_size(F.col("t")).cast("long").alias("got"))
+    rows = [("16", 8192), ("3b", 3), ("2KiB", 2048), ("2K", 2000), ("1m", 1 << 20), ("5exabyte", 5 * 10**18), ("16EiB", None), ("18446744073709551615b", (1 << 64) - 1), ("18446744073709551616b", None), ("9223372036854775807b", (1 << 63) - 1), ("99999999999999999999E", None), ("x", None), ("", None), ("4 k", None), ("1Kb", None)]
+    df = spark.createDataFrame([(t, None if n is None else Decimal(n)) for t, n in rows], "t string, n decimal(38,0)").select("t", "n", scalar.parse_size(F.col("t")).alias("got"))
     assert all(r.n == r.got for r in df.collect())
     pretty = [(0, "0b"), (8192, "8192b"), (8193, "8KiB"), (1 << 20, "1024KiB"), (8192 << 10, "8192KiB"), ((8192 << 10) + 512, "8192KiB"), (8193 << 10, "8MiB"), (1 << 40, "1024GiB"), (9000 << 30, "9Tib"), (1 << 62, "4096PiB")]
     df = spark.createDataFrame(pretty, "n long, t string").select("n", "t", scalar.pretty_size(F.col("n")).alias("got"))
@@ -106,12 +107,39 @@ def test_image(spark, tmp_path):
     assert {r.block: r.ref_count for r in sm.collect()} == {0: 0, 1: 1, 2: 2, 3: 40, 4: 0}
 
 
+def test_walk_reports_what_is_broken(spark):
+    """Siblings of a broken, a missing and a misplaced child are read; the errors tell which keys are lost."""
+    full = lambda lo: list(range(lo, lo + 100))
+    data = {1: node(1, False, [0, 100, 200, 300], [2, 3, 4, 6]), 2: node(2, True, full(0), full(0)), 3: node(9, True, full(100), full(0)), 6: node(6, True, full(250), full(0)), 7: node(7, True, [1 << 63], [0])}
+    im = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "loc long, data binary")
+    decoded = image.nodes(im, roots=[1, 7])
+    entries, errors = image.walk(decoded, spark.createDataFrame([(1,), (7,)], "root long"))
+    assert sorted(r.key for r in entries.collect()) == full(0) and entries.first().path == [1, 2]
+    assert {(r.loc, r.error, r.key_low, r.key_high) for r in errors.collect()} == {
+        (3, "block number mismatch", 100, 200), (4, "unreadable", 200, 300), (6, "keys outside the parent's range", 300, None), (7, "number of 2^63 or more", None, None)}
+
+
+def test_delta_and_era_documents(spark):
+    sb = spark.createDataFrame([("u&'<", 1, 2, 128, 900)], "uuid string, time long, transaction long, data_block_size long, nr_data_blocks long")
+    pieces = [("same", 0, 5, None, None, 2), ("differ", 2, None, 7, 9, 1), ("differ", 3, None, 1, 2, 1), ("left_only", 9, 4, None, None, 3)]
+    delta = spark.createDataFrame(pieces, "kind string, thin_begin long, data_begin long, left_data_begin long, right_data_begin long, len long")
+    lines = [r.line for r in text.delta_xml(delta, sb, 1, 2).collect()]
+    assert lines[0].startswith('<superblock uuid="u&amp;&apos;&lt;"') and lines[1] == '  <diff left="1" right="2">' and lines[-2:] == ["  </diff>", "</superblock>"]
+    assert lines[2:-2] == ['    <same begin="0" length="2"/>', '    <different begin="2" length="1"/>', '    <different begin="3" length="1"/>', '    <left_only begin="9" length="3"/>']
+    lines = [r.line.strip() for r in text.delta_xml(delta, sb, 1, 2, verbose=True).collect()]
+    assert lines[2:-2] == ["<same>", '<range begin="0" data_begin="5" length="2"/>', "</same>", "<different>", '<range begin="2" left_data_begin="7" right_data_begin="9" length="1"/>',
+                           '<range begin="3" left_data_begin="1" right_data_begin="2" length="1"/>', "</different>", "<left_only>", '<range begin="9" data_begin="4" length="3"/>', "</left_only>"]
+    era_sb = spark.range(1).selectExpr("'x' as uuid", "128 as block_size", "4 as nr_blocks", "5 as current_era")
+    bits = text.era_xml(era_sb, spark.createDataFrame([(3, 4)], "era long, nr_bits long"), spark.createDataFrame([(3, 1, 3)], "era long, begin long, end long"), spark.createDataFrame([], "block long, era long"), compact=False)
+    assert [r.line.strip() for r in bits.collect()][2:6] == ['<bit block="%d" value="%s"/>' % (k, "true" if k in (1, 2) else "false") for k in range(4)]
+
+
 def test_array_block(spark):
     b = bytearray(4096)
     struct.pack_into("<IIIIQ", b, 0, 0, 509, 3, 8, 7)
     struct.pack_into("<QQQ", b, 24, 11, 1 << 40, 13)
     df = spark.createDataFrame([(bytearray(seal(b, "array")),)], "data binary")
-    assert df.select(image.array_values(F.col("data"))).first()[0] == [11, 1 << 40, 13]
+    assert image.arrays(df.selectExpr("7L as loc", "data")).first()["values"] == [11, 1 << 40, 13]
     assert image.with_kind(df).first().kind == "array"
 
 
