@@ -37,6 +37,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_by(df: DataFrame, column: str) -> DataFrame:
+    """The rows dealt out and sorted by a column, kept in the shared folder: joins and aggregates by that column do not shuffle them again.
+
+    Only a plan that is not adaptive tells how its rows are dealt out; this one has nothing to adapt.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    try:
+        conf.set("spark.sql.adaptive.enabled", "false")
+        return checkpoint(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), column).sortWithinPartitions(column))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, reread; it goes when the driver ends. For frames too wide for checkpoint()."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"

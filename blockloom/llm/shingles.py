@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, written
+from .common import checkpoint, dealt_by
 
 #: Sorensen-Dice similarity of two shingle sets, 2 |A and B| / (|A| + |B|); 0.8 is a Jaccard similarity of 2/3.
 WIDTH, THRESHOLD = 5, 0.8
 #: A band is equal for sets of Jaccard similarity s with probability of about s^TAKE; one of TABLES is, at 2/3, with 0.999.
 TABLES, TAKE = 20, 3
 #: Members of a band that one comparison holds at a time, if they have KEEP shingles each on average at most (16 KB each); fewer if they have more.
-CELL, KEEP = 512, 4096
+CELL, KEEP = 768, 4096
 SALTS = 16
 _SALT = np.array([(0x9E3779B97F4A7C15 * (t + 1)) % (1 << 64) for t in range(TABLES)], np.uint64)[:, None]
 
@@ -135,9 +135,7 @@ def _meet(threshold: float):
 
 
 def _compared(members: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """(band, root, doc_id) of members (band, cell, doc_id); with known and active, of their known roots, active members being compared with all others."""
-    if "known" not in members.columns:
-        members = members.withColumns({"known": F.col("doc_id"), "active": F.lit(True)})
+    """(band, root, doc_id): the root found for the root known, of members (band, cell, doc_id, known, active); active members are compared with all others."""
     full = members.join(prints.select("doc_id", "n", "shingles"), "doc_id").select("band", "cell", "doc_id", "n", "shingles", "known", "active")
     return full.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_meet(threshold), "band long, root long, doc_id long")
 
@@ -151,22 +149,57 @@ def _dealt(cells: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "band", F.lit(salt)), cells)
 
 
-def _rest(members: DataFrame, pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """Edges between the components that pairs leave in bands of several cells (members: band, cells, cell, doc_id, n).
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root): the components of edges (root, doc_id)."""
+    from .simhash import components
 
-    Members outside a band's largest component meet all that are not in theirs: each cell of the first with each cell of the band, as a task of its own.
+    return components(edges.select(F.least("root", "doc_id").alias("u"), F.greatest("root", "doc_id").alias("v")).filter("u <> v").distinct())
+
+
+def _known(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with the root of what they are known as so far."""
+    at = members.join(roots, members["known"] == roots["node"], "left")
+    return at.select(*(c for c in members.columns if c != "known"), F.coalesce("root", "known").alias("known"))
+
+
+def _members(spread: DataFrame) -> DataFrame:
+    """band, cells, cell, doc_id, n, known of the members of bands (band, doc_id, n, known) that hold two components or more.
+
+    Of bands with the same members one is enough. Large bands are summed up in parts and dealt to cells.
     """
-    from .simhash import components
+    salted = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    shared = salted.groupBy("band").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("doc_id").alias("least"), F.sum("n").alias("weight"),
+        F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi")
+    shared = shared.groupBy("size", "who", "least").agg(F.min(F.struct("band", "weight")).alias("b"))
+    shared = shared.select("b.band", _cells(F.col("size"), F.col("b.weight")).alias("cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return checkpoint(salted.join(shared, ["band", "salt"]).select("band", "cells", _dealt(F.col("cells"), 0).alias("cell"), "doc_id", "n", "known"))
 
-    roots = components(pairs.select(F.least("root", "doc_id").alias("u"), F.greatest("root", "doc_id").alias("v")).distinct())
-    at = members.join(roots, members["doc_id"] == roots["node"], "left").select("band", "cells", "cell", "doc_id", "n", F.coalesce("root", "doc_id").alias("known"))
-    at = checkpoint(at)
-    count = at.groupBy("band", "known").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+
+def _met(members: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """Edges found by comparing the members of each cell that are not yet known as one."""
+    return checkpoint(_compared(members.select("band", "cell", "doc_id", "known", F.lit(True).alias("active")), prints, threshold))
+
+
+def _heads(members: DataFrame, met: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """Edges between the components of different cells of a band, by one member of each. Joins most of a large group of near copies."""
+    bands_ = members.filter("cells > 1").select("band").distinct()
+    heads = met.join(bands_, "band", "left_semi").select("band", F.col("root").alias("doc_id")).distinct().join(prints.select("doc_id", "n"), "doc_id")
+    room = heads.groupBy("band").agg(_cells(F.count("*"), F.sum("n")).alias("cells"))
+    heads = heads.join(room, "band").select("band", _dealt(F.col("cells"), 1).alias("cell"), "doc_id", F.col("doc_id").alias("known"), F.lit(True).alias("active"))
+    return _compared(heads, prints, threshold).filter("root <> doc_id")
+
+
+def _rest(members: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """Edges between the components that are left in bands of several cells.
+
+    Members outside a band's largest component meet all that are not in theirs: each cell of the first with each cell of the band, as a task of its own.
+    """
+    count = members.groupBy("band", "known").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     whole = count.groupBy("band").agg(F.max(F.struct("size", "weight", "known")).alias("stay"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
     left = F.col("size") - F.col("stay.size"), F.col("weight") - F.col("stay.weight")
-    # At most one band for CELL members, so few rows.
-    open_ = checkpoint(whole.filter(left[0] > 0).select("band", F.col("stay.known").alias("stay"), _cells(*left).alias("rests")))
-    at = at.join(F.broadcast(open_), "band")
+    open_ = whole.filter(left[0] > 0).select("band", F.col("stay.known").alias("stay"), _cells(*left).alias("rests"))
+    at = checkpoint(members.join(open_, "band"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     task = lambda i, j: (i * (1 << 31) + j).alias("cell")
     active = at.filter("known <> stay").withColumn("i", _dealt(F.col("rests"), 2)).withColumn("j", upto(F.col("cells")))
@@ -176,31 +209,24 @@ def _rest(members: DataFrame, pairs: DataFrame, prints: DataFrame, threshold: fl
     return _compared(met, prints, threshold)
 
 
-def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (u < v, doc_ids) whose components are those of documents alike to the threshold.
+def links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, known: DataFrame | None = None) -> DataFrame:
+    """Edges (u < v, doc_ids) whose components are those of documents alike to the threshold; known (doc_id, head): components that need not be found again.
 
-    A band of over CELL members is dealt to cells; then one member of each component found in a cell meets those of others, which
+    A band in which all members are one component already is left out.
+    A band of over CELL members is dealt to cells; one member of each component found in a cell meets those of others, which
     joins most of a large group of near copies. What then is in several components of a band is compared member by member.
     Null texts, texts without words and null ids have no links; repeated rows are members like others. An empty table has no
     links. Other columns are not read. A long text costs 4 bytes for each distinct shingle, whole.
     """
-    prints = written(sketches(docs.filter("doc_id is not null"), width).filter("n > 0"))
-    salted = prints.select("doc_id", "n", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    shared = salted.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("doc_id").alias("least"), F.sum("n").alias("weight")).filter("size > 1")
-    shared = shared.groupBy("size", "who", "least").agg(F.min(F.struct("band", "weight")).alias("b"))  # of bands with the same members one is enough
-    shared = shared.select("b.band", _cells(F.col("size"), F.col("b.weight")).alias("cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    dealt = salted.join(shared, ["band", "salt"])
-    members = checkpoint(dealt.select("band", _dealt(F.col("cells"), 0).alias("cell"), "doc_id", "n", "cells"))
-    first = checkpoint(_compared(members.select("band", "cell", "doc_id"), prints, threshold))
-    pairs = first.filter("root <> doc_id")
+    # The sets are shuffled once: later joins by doc_id find them where they are.
+    prints = dealt_by(sketches(docs.filter("doc_id is not null"), width).filter("n > 0"), "doc_id")
+    base = prints.select("doc_id", "n", "bands")
+    base = base.withColumn("known", F.col("doc_id")) if known is None else base.join(known.select("doc_id", F.col("head").alias("known")), "doc_id")
+    members = _members(base.select("doc_id", "n", "known", F.explode("bands").alias("band")))
+    met = _met(members, prints, threshold)
+    edges = met.select("root", "doc_id").filter("root <> doc_id")
     large = members.filter("cells > 1")
     if not large.isEmpty():
-        bands_ = F.broadcast(large.select("band").distinct())
-        inner = first.join(bands_, "band", "left_semi")
-        heads = inner.filter("root = doc_id").join(prints.select("doc_id", "n"), "doc_id")
-        room = heads.groupBy("band").agg(_cells(F.count("*"), F.sum("n")).alias("cells"))
-        heads = heads.join(F.broadcast(room), "band").select("band", _dealt(F.col("cells"), 1).alias("cell"), "doc_id")
-        second = checkpoint(_compared(heads, prints, threshold).filter("root <> doc_id"))
-        third = _rest(large, inner.filter("root <> doc_id").unionByName(second), prints, threshold).filter("root <> doc_id")
-        pairs = pairs.unionByName(second).unionByName(third)
-    return pairs.select(F.least("root", "doc_id").alias("u"), F.greatest("root", "doc_id").alias("v")).distinct()
+        edges = checkpoint(edges.unionByName(_heads(members, met, prints, threshold).select("root", "doc_id")))
+        edges = edges.unionByName(_rest(_known(large, _roots(edges)), prints, threshold).select("root", "doc_id").filter("root <> doc_id"))
+    return edges.select(F.least("root", "doc_id").alias("u"), F.greatest("root", "doc_id").alias("v")).distinct()

@@ -241,7 +241,7 @@ def alike(docs: DataFrame, width: int = 3, bits: int = 3, threshold: float = shi
     """
     found = checkpoint(groups(docs, width, bits).select("doc_id", F.col("component_id").alias("head")))
     a, b = found.select(F.col("doc_id").alias("u"), F.col("head").alias("hu")), found.select(F.col("doc_id").alias("v"), F.col("head").alias("hv"))
-    edges = shingles.links(docs, threshold=threshold).join(a, "u").join(b, "v").filter("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct()
+    edges = shingles.links(docs, threshold=threshold, known=found).join(a, "u").join(b, "v").filter("hu <> hv").select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct()
     roots = components(edges)
     return found.join(roots, found["head"] == roots["node"], "left").select("doc_id", F.coalesce("root", "head").alias("head"))
 
@@ -257,6 +257,7 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 3, threshold: float =
     ids = docs.select(at.alias("row"), F.col("doc_id").cast("long").alias("id"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     named = checkpoint(found.join(ids, "row").select("head", order.alias("order")))
-    best = named.groupBy("head").agg(F.min("order").alias("best"), F.count("*").alias("size")).filter("size > 1").select("head", "best")
-    dropped = named.join(best, "head").filter("order <> best").select(F.col("order.row").alias("_row"))
+    kept = named.groupBy("head").agg(F.min("order").alias("best")).select(F.col("best.row").alias("_row"))
+    # By row, not by head: the rows of a large group stay dealt out.
+    dropped = named.select(F.col("order.row").alias("_row")).join(kept, "_row", "left_anti")
     return docs.select(F.struct("*").alias("doc"), at.alias("_row")).join(dropped, "_row", "left_anti").select("doc.*")
