@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_RE, checkpoint, table
+from .common import SPACE_RE, checkpoint, stored, table
 
 #: Counters of each partition's summary, and so the most heavy digests there can be.
 COUNTERS = 2048
@@ -84,6 +84,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that classes() keeps, with all their columns. docs is a stored table: its rows are told apart by their places."""
+    """The rows of docs that classes() keeps, with all their columns. Rows are told apart by their places; a frame that does not read a stored table is written first."""
+    docs = stored(docs)
     gone = classes(docs).filter("not kept").select(F.col("row").alias("_row"))
     return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")).join(gone, "_row", "left_anti").select("doc.*")

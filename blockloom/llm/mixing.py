@@ -7,7 +7,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint, split_words, table
+from .common import checkpoint, split_words, stored, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3.0
@@ -172,7 +172,8 @@ def op8_mix(spark, sf_dir):
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. docs is a stored table: its rows are told apart by their places."""
+    """The rows of docs, each as often as the mix takes it. Rows are told apart by their places; a frame that does not read a stored table is written first."""
+    docs = stored(docs)
     taken = copies(docs, **options).filter("copies > 0").select(F.col("row").alias("_row"), "copies")
     whole = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"))
     return whole.join(taken, "_row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

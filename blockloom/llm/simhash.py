@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles
-from .common import checkpoint, table
+from .common import checkpoint, stored, table
 
 SEED = 42
 LOW31 = (1 << 31) - 1
@@ -179,16 +179,14 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(_compare(bits), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges, by contraction.
 
     Each round hooks a node to its smallest neighbour if that is smaller, halves the paths, and carries the edges to
-    the roots; loops and repeats go. A round moves the edges that are left, aggregated, so a hub costs no more than others.
+    the roots; loops and repeats go, until no edge is left: each round joins at least two nodes of each component that is left. A round moves the edges that are left, aggregated, so a hub costs no more than others.
     """
     left, maps = checkpoint(edges.select("u", "v")), []
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         both = left.union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         p = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
         p = checkpoint(p)
@@ -203,8 +201,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         q = p.select(F.col("node").alias("mid"), F.col("root").alias("rv"))
         above = p.select(F.col("root").alias("ru")).distinct().join(q, F.col("ru") == q.mid).select("ru", "rv")
         left = checkpoint(moved.union(above).filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
-    else:
-        raise RuntimeError("components: the edges did not contract")
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
     total = maps[-1]
@@ -218,7 +214,8 @@ def groups(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of the component).
 
     Null texts count as empty; texts without words have fingerprint zero and link as others do. Repeated rows
-    each give a row. Null ids join components but name one only if it has no other. An empty table gives an empty one.
+    each give a row. Null ids join components but name one only if it has no other. An empty table gives an empty one; other
+    columns are not read. A long text is read whole, its shingles summed a few thousand at a time.
     """
     prints = checkpoint(fingerprints(docs, width))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -250,8 +247,9 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 3, threshold: float =
     """Of each group of alike rows the one with the smallest doc_id, null ids last; of rows with the same id one.
 
     Texts without words (null ones too) are alike. Long texts are judged whole. An empty table gives an empty one. All columns of the
-    input stay, whatever their names. docs is a stored table: its rows are told apart by their places.
+    input stay, whatever their names. Rows are told apart by their places; a frame that does not read a stored table is written first.
     """
+    docs = stored(docs)
     at = F.monotonically_increasing_id()
     found = alike(docs.select(at.alias("doc_id"), "text"), width, bits, threshold).select(F.col("doc_id").alias("row"), "head")
     ids = docs.select(at.alias("row"), F.col("doc_id").cast("long").alias("id"))

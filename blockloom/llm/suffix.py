@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, table, written
+from .common import checkpoint, stored, table, written
 
 #: What is removed: strings of so many bytes.
 LENGTH = 400
@@ -339,9 +339,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Texts are UTF-8 bytes, null is empty. Equal texts are found first, by their SHA-256: all of each is a repeat,
     and one of them stands for all in the search. Repeated rows are equal texts; null ids are documents like others.
     Long texts go through the search in parts that overlap, of SEGMENT bytes. An empty table gives an empty one; other columns are not read.
-    docs is a stored table: its rows are told apart by their places.
+    Rows are told apart by their places; a frame that does not read a stored table is written first.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, stored(docs)
     bytes_ = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), bytes_.alias("text"))
     words = F.when(F.octet_length("text") >= SHORT, F.regexp_count(F.col("text").cast("string"), F.lit(WORD_RE))).otherwise(0)
