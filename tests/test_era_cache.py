@@ -4,30 +4,38 @@ import pytest
 
 from blockloom.operators import cache, era
 
-ARRAY = [0, 1, 2, 1, 0, 1, 0, 0, 2, 0, 0, 0, 2, 2, 0, 0]
-WRITESETS = [(3, 0), (3, 1), (4, 4), (4, 5), (5, 8), (5, 9)]
+ARRAY = [(7 * k + k * k) % 4 for k in range(24)]
+WRITESETS = [(e, b) for e in (5, 6, 8) for b in range(24) if (b * e) % 11 < 2]
 
 
-@pytest.mark.parametrize("since,expected", [(3, [(0, 2), (4, 6), (8, 10)]), (5, [(8, 10)]), (2, [(0, 3), (4, 6), (8, 10), (12, 14)]), (6, []), (0, [(0, 16)])])
-def test_invalidate(spark, since, expected):
-    ws = spark.createDataFrame(WRITESETS, "era long, block long")
-    arr = spark.createDataFrame(list(enumerate(ARRAY)), "block long, era long")
-    assert sorted(map(tuple, era.invalidate(ws, arr, since).collect())) == expected
+def ranges(blocks):
+    out = []
+    for b in sorted(blocks):
+        if out and out[-1][1] == b:
+            out[-1] = (out[-1][0], b + 1)
+        else:
+            out.append((b, b + 1))
+    return out
 
 
-@pytest.mark.parametrize("since,expected", [(0, [(0, 16)]), (3, [(2, 5)]), (6, [])])
-def test_invalidate_without_writesets(spark, since, expected):
-    arr = spark.createDataFrame([(k, k + 1 if k < 5 else 0) for k in range(16)], "block long, era long")
-    assert sorted(map(tuple, era.invalidate(spark.createDataFrame([], "era long, block long"), arr, since).collect())) == expected
+@pytest.mark.parametrize("writesets", [WRITESETS, []])
+@pytest.mark.parametrize("since", [0, 2, 3, 4, 5, 6, 9])
+def test_invalidate(spark, since, writesets):
+    """The array counts only if eras older than the oldest writeset are asked for."""
+    found = {b for e, b in writesets if e >= since}
+    if not writesets or min(e for e, _ in writesets) > since:
+        found |= {b for b, e in enumerate(ARRAY) if e >= since}
+    ws, arr = spark.createDataFrame(writesets, "era long, block long"), spark.createDataFrame(list(enumerate(ARRAY)), "block long, era long")
+    assert sorted(map(tuple, era.invalidate(ws, arr, since).collect())) == ranges(found)
 
 
 def test_eras(spark):
     ws = spark.createDataFrame(WRITESETS, "era long, block long")
     arr = spark.createDataFrame(list(enumerate(ARRAY)), "block long, era long")
     got = {r.block: r.era for r in era.logical(ws, arr).collect()}
-    assert got[0] == 3 and got[4] == 4 and got[9] == 5 and got[2] == 2
-    assert sorted(r.era for r in era.missing_eras(ws, 7).collect()) == [6, 7]
-    assert era.all_writesets(ws, spark.createDataFrame([(6, 1)], "era long, block long")).count() == 7
+    assert got == {b: max([e for e, x in WRITESETS if x == b], default=ARRAY[b]) for b in range(24)}
+    assert sorted(r.era for r in era.missing_eras(ws, 9).collect()) == [7, 9]
+    assert era.all_writesets(ws, spark.createDataFrame([(9, 1)], "era long, block long")).count() == len(WRITESETS) + 1
     with pytest.raises(Exception, match="archived"):
         era.all_writesets(ws, spark.createDataFrame([(5, 1)], "era long, block long")).collect()
 

@@ -16,8 +16,8 @@ def blocks(*runs):
 
 @pytest.mark.parametrize("runs,expected", [
     ([], []),
-    ([(1, 200, 0, 8192), (2, 0, 8192, 4096)], [(1, 8192, 8192, 0, 8391), (2, 4096, 4096, 0, 4095)]),
-    ([(1, 0, 750, 1000), (2, 0, 750, 1000), (1, 1650, 5637, 126), (2, 10600, 2048, 250)], [(1, 1126, 126, 1000, 1775), (2, 1250, 250, 1000, 10849)]),
+    ([(1, 30, 0, 700), (2, 5, 700, 40)], [(1, 700, 700, 0, 729), (2, 40, 40, 0, 44)]),
+    ([(3, 0, 90, 60), (4, 8, 100, 20), (3, 300, 7, 5), (4, 64, 1, 3)], [(3, 65, 45, 20, 304), (4, 23, 3, 20, 66)]),
 ])
 def test_listing(spark, runs, expected):
     m = spark.createDataFrame(blocks(*runs), M)
@@ -34,14 +34,28 @@ def test_listing_fields(spark):
         thin.listing(dev, m, ["NONE"])
 
 
-@pytest.mark.parametrize("left,right,expected", [
-    ([(10, 1234, 30), (40, 2345, 10)], [(20, 1244, 50)], [("differ", 40, 10, 2345, 1264), ("left_only", 10, 10, 1234, None), ("right_only", 50, 20, None, 1274), ("same", 20, 20, 1244, 1244)]),
-    ([(10, 1234, 30), (50, 2345, 20)], [(10, 1234, 50)], [("differ", 50, 10, 2345, 1274), ("left_only", 60, 10, 2355, None), ("right_only", 40, 10, None, 1264), ("same", 10, 30, 1234, 1234)]),
-    ([(0, 0, 1024)], [(0, 0, 1024)], [("same", 0, 1024, 0, 0)]),
-])
-def test_delta(spark, left, right, expected):
-    m = spark.createDataFrame(blocks(*((1, *r) for r in left), *((2, *r) for r in right)), M)
-    assert sorted(map(tuple, thin.delta(m, 1, 2, verbose=True).collect()), key=str) == sorted(expected, key=str)
+def delta_by_blocks(left, right):
+    """(kind, thin_begin, len, left's data_begin, right's) of stretches of one kind, a block at a time."""
+    out = []
+    for t in sorted({*left, *right}):
+        x, y = left.get(t), right.get(t)
+        kind = "left_only" if y is None else "right_only" if x is None else "same" if x == y else "differ"
+        if out and out[-1][0] == kind and out[-1][1] + out[-1][2] == t:
+            out[-1][2] += 1
+        else:
+            out.append([kind, t, 1, x, y])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_delta(spark, seed):
+    """Random runs of two volumes, with shared, moved and own stretches."""
+    rng = random.Random(seed)
+    left = {t: 1000 + t for t in range(120) if rng.random() < 0.8}
+    right = {t: b + rng.choice([0, 0, 500]) * (t // 9 % 2) for t, b in left.items() if t // 13 % 3} | {t: 5000 + t for t in range(100, 140) if t not in left}
+    m = spark.createDataFrame([(1, t, b, 0) for t, b in left.items()] + [(2, t, b, 0) for t, b in right.items()], M)
+    got = sorted(map(tuple, thin.delta(m, 1, 2, verbose=True).collect()), key=lambda r: r[1])
+    assert got == [tuple(x) for x in delta_by_blocks(left, right)]
 
 
 def test_runs(spark):
