@@ -120,12 +120,24 @@ def op_ls(spark, d):
     return thin.usage(V.thin_mappings(spark, d))
 
 
-@query(f"""select d.dev_id as DEV, u.mapped as MAPPED_BLOCKS, cast(u.exclusive as bigint) * 128 as EXCLUSIVE_SECTORS, cast(u.shared as bigint) * 128 * 512 as SHARED_BYTES,
- u.highest as HIGHEST_BLOCK, (u.highest + 1) * 128 - 1 as HIGHEST_SECTOR, (u.highest + 1) * 65536 - 1 as HIGHEST_BYTE, d.transaction_id as "TRANSACTION", d.creation_time as CREATE_TIME, d.snapshotted_time as SNAP_TIME
- from d join ({_LS}) u using (dev_id)""")
+def _pretty_sql(b: str) -> str:
+    """Bytes under 2^40 as printed."""
+    up = lambda x, unit: f"cast(cast(floor(({x}) / 1024.0 + 0.5) as bigint) as varchar) || '{unit}'"
+    step = lambda x, small, large: f"case when {x} > 8192 then {up(x, large)} else cast({x} as varchar) || '{small}' end"
+    return f"case when {b} < 1048576 then {step(b, 'b', 'KiB')} when {b} < 1073741824 then {step(f'({b} >> 10)', 'KiB', 'MiB')} else {step(f'({b} >> 20)', 'MiB', 'GiB')} end"
+
+
+LS_FIELDS = ["DEV", *(f"{n}{u}" for n in ("MAPPED", "EXCLUSIVE", "SHARED") for u in ("_BLOCKS", "_SECTORS", "_BYTES", "")),
+             "HIGHEST_BLOCK", "HIGHEST_SECTOR", "HIGHEST_BYTE", "HIGHEST_MAPPED", "TRANSACTION", "CREATE_TIME", "SNAP_TIME"]
+_LS_COUNTS = ", ".join(f"{c} as {n}_BLOCKS, {c} * 128 as {n}_SECTORS, {c} * 65536 as {n}_BYTES, {_pretty_sql(f'({c} * 65536)')} as {n}" for n, c in (("MAPPED", "mapped"), ("EXCLUSIVE", "exclusive"), ("SHARED", "shared")))
+
+
+@query(f"""select dev_id as DEV, {_LS_COUNTS}, highest as HIGHEST_BLOCK, (highest + 1) * 128 - 1 as HIGHEST_SECTOR, (highest + 1) * 65536 - 1 as HIGHEST_BYTE,
+ {_pretty_sql("((highest + 1) * 65536)")} as HIGHEST_MAPPED, transaction_id as "TRANSACTION", creation_time as CREATE_TIME, snapshotted_time as SNAP_TIME
+ from (select d.*, mapped, cast(exclusive as bigint) as exclusive, cast(shared as bigint) as shared, highest from d join ({_LS}) u using (dev_id))""")
 def op_ls_project(spark, d):
-    fields = ["DEV", "MAPPED_BLOCKS", "EXCLUSIVE_SECTORS", "SHARED_BYTES", "HIGHEST_BLOCK", "HIGHEST_SECTOR", "HIGHEST_BYTE", "TRANSACTION", "CREATE_TIME", "SNAP_TIME"]
-    return thin.listing(V.thin_devices(spark, d), V.thin_mappings(spark, d), fields, V.BLOCK_SECTORS)
+    """All fields of a listing."""
+    return thin.listing(V.thin_devices(spark, d), V.thin_mappings(spark, d), LS_FIELDS, V.BLOCK_SECTORS)
 
 
 @query("select dev_id as DEV, creation_time as CREATE_TIME from d")
@@ -191,10 +203,10 @@ def op_sm_diff(spark, d):
     return check.space_map_diff(thin.ref_counts(V.thin_mappings(spark, d)), V.disk_ref_counts(spark, d))
 
 
-@query("select dev_id, thin_block, data_block, map_time from m where dev_id <= 2")
+@query("select dev_id, thin_block, data_block, map_time from m")
 def op_ref_expand(spark, d):
-    """Volumes 0 to 2 as refs to one def each."""
-    m = V.thin_mappings(spark, d).filter("dev_id <= 2")
+    """Volumes as refs to one def each."""
+    m = V.thin_mappings(spark, d)
     defs = m.select(F.concat(F.lit("d"), F.col("dev_id")).alias("def_name"), "thin_block", "data_block", "map_time")
     refs = m.select("dev_id").distinct().selectExpr("dev_id", "concat('d', dev_id) as ref_name", "cast(null as bigint) as thin_block", "cast(null as bigint) as data_block", "cast(null as bigint) as map_time")
     return thin.expand_refs(refs, defs)[0].select("dev_id", "thin_block", "data_block", "map_time")
@@ -206,10 +218,10 @@ def op_snap_excl(spark, d):
     return check.snapshot_only(dev.select("dev_id", (F.col("dev_id") * 7).alias("root")), dev.select("dev_id", (F.col("dev_id") * 7 + F.col("dev_id") % 2).alias("root")))
 
 
-@query("select cblock, cblock * 3 as hint from c where is_valid = 1 and cblock % 4 = 0")
+@query("select cblock, cblock * 3 as hint from c where is_valid = 1")
 def op_hint_join(spark, d):
     c = V.cache_mappings(spark, d)
-    return cache.hints_of_valid(c.filter("cblock % 4 = 0").select("cblock", (F.col("cblock") * 3).alias("hint")), c)
+    return cache.hints_of_valid(c.select("cblock", (F.col("cblock") * 3).alias("hint")), c)
 
 
 @query("select cblock, oblock, case when cblock % 5 = 0 then true else is_dirty = 1 end as dirty from c where is_valid = 1")
@@ -448,12 +460,12 @@ def op_split_at(spark, d):
     return thin.split_at(islands.islands(blocks, [], "data_block"), 410000)
 
 
-@query("select l.dev_id as left_dev, r.dev_id as right_dev, greatest(l.b, r.b) as begin, least(l.b + l.n, r.b + r.n) - greatest(l.b, r.b) as len from " + runs_sql("m", "dev_id", "thin_block") + " l join " + runs_sql("m", "dev_id", "thin_block") + " r on l.dev_id = 0 and r.dev_id = 1 and l.b < r.b + r.n and r.b < l.b + l.n")
+@query("select l.dev_id as left_dev, r.dev_id as right_dev, greatest(l.b, r.b) as begin, least(l.b + l.n, r.b + r.n) - greatest(l.b, r.b) as len from " + runs_sql("m", "dev_id", "thin_block") + " l join " + runs_sql("m", "dev_id", "thin_block") + " r on l.dev_id < r.dev_id and l.b < r.b + r.n and r.b < l.b + l.n")
 def op_range_overlap(spark, d):
     r = islands.islands(V.thin_mappings(spark, d).select("dev_id", "thin_block"), ["dev_id"], "thin_block")
-    left = r.filter("dev_id = 0").select(F.col("dev_id").alias("left_dev"), "begin", "len")
-    right = r.filter("dev_id = 1").select(F.col("dev_id").alias("right_dev"), F.col("begin").alias("r_begin"), F.col("len").alias("r_len"))
-    return rangejoin.overlap_join(left, right).select("left_dev", "right_dev", F.col("o_begin").alias("begin"), F.col("o_len").alias("len"))
+    left = r.select(F.col("dev_id").alias("left_dev"), "begin", "len")
+    right = r.select(F.col("dev_id").alias("right_dev"), F.col("begin").alias("r_begin"), F.col("len").alias("r_len"))
+    return rangejoin.overlap_join(left, right).filter("left_dev < right_dev").select("left_dev", "right_dev", F.col("o_begin").alias("begin"), F.col("o_len").alias("len"))
 
 
 # --- cache ---------------------------------------------------------------------------------------------------------
