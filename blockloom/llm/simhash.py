@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shingles
 from .common import checkpoint, stored, table
@@ -14,6 +14,8 @@ from .common import checkpoint, stored, table
 SEED = 42
 LOW31 = (1 << 31) - 1
 PAIRS = 1 << 20
+#: Rows of an anchor that one task compares.
+CROWD = 1 << 15
 
 
 def shingle_bits(text: str | None, width: int, hash64) -> int:
@@ -172,11 +174,25 @@ def _compare(bits: int):
     return run
 
 
-def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """Edges (u < v as stored) whose components are those of all links between the distinct fingerprints."""
+def links(distinct: DataFrame, bits: int = 3, crowd: int = CROWD) -> DataFrame:
+    """Edges (u < v as stored) whose components are those of all links between the distinct fingerprints.
+
+    The rows of an anchor are compared in one task. Those of an anchor with over crowd rows are dealt to k cells of crowd rows or so,
+    and each pair of cells is a task of its own: its home rows of one cell with all rows of the other, so none is left out.
+    """
     spread = distinct.select("fp").mapInArrow(_cover_batches, "anchor long, fp long, home boolean")
-    dealt = spread.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(_compare(bits), "u long, v long").distinct()
+    dealt = spread.repartition("anchor").withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    alone = dealt.filter(F.col("n") <= crowd).select("anchor", "fp", "home").sortWithinPartitions("anchor")
+    k = F.ceil(F.col("n") / crowd)
+    busy = dealt.filter(F.col("n") > crowd).withColumn("k", k).withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("k")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("k") - 1)
+    homes = busy.filter("home").select("anchor", "fp", F.lit(True).alias("home"), F.col("cell").alias("i"), F.explode(others).alias("j"))
+    members = busy.select("anchor", "fp", F.lit(False).alias("home"), F.explode(others).alias("i"), F.col("cell").alias("j"))
+    # A pair of cells is named by a hash: where two pairs share one, more rows are compared, never fewer.
+    paired = homes.unionByName(members).select(F.xxhash64("anchor", "i", "j").alias("anchor"), "fp", "home")
+    paired = paired.repartition("anchor").sortWithinPartitions("anchor")
+    run = _compare(bits)
+    return alone.mapInArrow(run, "u long, v long").unionByName(paired.mapInArrow(run, "u long, v long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

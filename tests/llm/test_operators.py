@@ -457,6 +457,35 @@ def components_of(rows, linked):
     return [find(k) for k in range(len(rows))]
 
 
+def test_simhash_crowded_anchors(spark):
+    """Anchors whose rows are dealt to cells lose no link: the components are those of brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = int(rng.integers(0, 1 << 62))
+    prints = {base}
+    for _ in range(400):  # one word of the code takes them all: the low half hardly differs
+        prints.add(base ^ (1 << int(rng.integers(0, 32))) ^ (int(rng.integers(0, 1 << 20)) << 32) * int(rng.integers(0, 2)) ^ (1 << int(rng.integers(32, 62))))
+    values = sorted(prints)
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    expected = {v: top(v) for v in values}
+    assert 3 < len(set(expected.values())) < len(values) - 50
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    for crowd in (16, 1 << 15):
+        got = {r.node: r.root for r in simhash.components(simhash.links(distinct, 3, crowd)).collect()}
+        assert {v: got.get(v, v) for v in values} == expected
+
+
 def test_simhash(docs):
     rows = [(i, fingerprint(t)) for i, t, *_ in corpus()]
     comp = components_of(rows, lambda a, b: (a[1] ^ b[1]).bit_count() <= 3)
