@@ -180,15 +180,26 @@ def ranked(ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return x.withColumn("_in", F.sum("len").over(within) - F.col("len")).join(totals, "_bucket").select("begin", "len", (F.col("_base") + F.col("_in")).alias("rank"))
 
 
-def rank_align(wanted: DataFrame, free: DataFrame) -> DataFrame:
+def rank_align(wanted: DataFrame, free: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The i-th block of wanted gets the i-th of free: both are ranges (begin, len), aligned by the sums of lengths before them.
 
+    Each side's ranks have no gaps, so a piece begins where a range of either side does and ends where one of the two does. Each bucket of
+    ranks finds its latest ranges itself, with those of the buckets before carried in: rows grow with the ranges, however long they are.
     Output: src_begin, dst_begin, len.
     """
-    a = ranked(wanted).select(F.col("begin").alias("src"), F.col("rank").alias("begin"), "len")
-    b = ranked(free).select(F.col("begin").alias("dst"), F.col("rank").alias("r_begin"), F.col("len").alias("r_len"))
-    o = overlap_join(a, b)
-    return o.select((F.col("src") + F.col("o_begin") - F.col("begin")).alias("src_begin"), (F.col("dst") + F.col("o_begin") - F.col("r_begin")).alias("dst_begin"), F.col("o_len").alias("len"))
+    side = lambda df, name: ranked(df.filter("len > 0"), bucket).select("rank", F.struct("rank", "begin", "len").alias(name))
+    x = side(wanted, "src").unionByName(side(free, "dst"), allowMissingColumns=True).withColumn("_bucket", div(F.col("rank"), bucket))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = x.groupBy("_bucket").agg(F.max("src").alias("_s"), F.max("dst").alias("_d"))
+    carried = carried.select("_bucket", F.last("_s", True).over(before).alias("_s"), F.last("_d", True).over(before).alias("_d"))
+    upto = Window.partitionBy("_bucket").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)
+    latest = lambda c, old: F.coalesce(F.last(c, True).over(upto), F.col(old))
+    y = x.join(carried, "_bucket").select("rank", F.col("src").isNotNull().alias("_own"), latest("src", "_s").alias("src"), latest("dst", "_d").alias("dst"))
+    ends = F.least(F.col("src.rank") + F.col("src.len"), F.col("dst.rank") + F.col("dst.len"))
+    # Where both sides begin a range, the piece is listed once.
+    pieces = y.filter(F.col("_own") | (F.col("src.rank") < F.col("rank"))).filter("src is not null and dst is not null")
+    at = lambda c: (F.col(f"{c}.begin") + F.col("rank") - F.col(f"{c}.rank")).alias(f"{c}_begin")
+    return pieces.select(at("src"), at("dst"), (ends - F.col("rank")).alias("len")).filter("len > 0")
 
 
 def shrink_remaps(spark, mappings: DataFrame, new_blocks: int) -> DataFrame:
@@ -209,16 +220,15 @@ def remap_runs(mapped: DataFrame, remaps: DataFrame) -> DataFrame:
     a = mapped.select("dev_id", "thin_begin", "map_time", F.col("data_begin").alias("begin"), "len")
     b = remaps.select(F.col("src_begin").alias("r_begin"), F.col("len").alias("r_len"), "dst_begin")
     o = overlap_join(a, b)
-    moved = o.select("dev_id", (F.col("thin_begin") + F.col("o_begin") - F.col("begin")).alias("thin_begin"), (F.col("dst_begin") + F.col("o_begin") - F.col("r_begin")).alias("data_begin"), F.col("o_len").alias("len"), "map_time")
-    # What no remap covers stays: the gaps between the covered pieces of each run.
+    # A mark at each run's end, so that one window finds what no remap covers before each piece and behind the last.
+    marks = a.withColumn("o_begin", F.col("begin") + F.col("len")).withColumn("o_len", F.lit(0).cast("long")).withColumn("to", F.lit(None).cast("long"))
+    cut = o.withColumn("to", F.col("dst_begin") + F.col("o_begin") - F.col("r_begin")).select(*marks.columns).unionByName(marks)
     w = Window.partitionBy("dev_id", "thin_begin", "begin", "len", "map_time").orderBy("o_begin")
-    cut = o.select("dev_id", "thin_begin", "begin", "len", "map_time", "o_begin", (F.col("o_begin") + F.col("o_len")).alias("o_end"))
-    cut = cut.withColumn("prev", F.coalesce(F.lag("o_end").over(w), F.col("begin"))).withColumn("next", F.lead("o_begin").over(w))
-    head = cut.select("dev_id", "thin_begin", "begin", "map_time", F.col("prev").alias("b"), F.col("o_begin").alias("e"))
-    tail = cut.filter("next is null").select("dev_id", "thin_begin", "begin", "map_time", F.col("o_end").alias("b"), (F.col("begin") + F.col("len")).alias("e"))
-    left = head.unionByName(tail).filter("e > b").select("dev_id", (F.col("thin_begin") + F.col("b") - F.col("begin")).alias("thin_begin"), F.col("b").alias("data_begin"), (F.col("e") - F.col("b")).alias("len"), "map_time")
-    whole = a.join(o.select("dev_id", "thin_begin", "begin").distinct(), ["dev_id", "thin_begin", "begin"], "left_anti").select("dev_id", "thin_begin", F.col("begin").alias("data_begin"), "len", "map_time")
-    return moved.unionByName(left).unionByName(whole)
+    stays = F.coalesce(F.lag(F.col("o_begin") + F.col("o_len")).over(w), F.col("begin"))
+    piece = lambda at, to, n: F.struct(at.alias("at"), to.alias("to"), n.alias("n"))
+    pieces = cut.withColumn("_b", stays).select("dev_id", "thin_begin", "begin", "map_time", F.explode(F.array(
+        piece(F.col("_b"), F.col("_b"), F.col("o_begin") - F.col("_b")), piece(F.col("o_begin"), F.col("to"), F.col("o_len")))).alias("p")).filter("p.n > 0")
+    return pieces.select("dev_id", (F.col("thin_begin") + F.col("p.at") - F.col("begin")).alias("thin_begin"), F.col("p.to").alias("data_begin"), F.col("p.n").alias("len"), "map_time")
 
 
 def atomic_sequences(sequences: DataFrame) -> DataFrame:

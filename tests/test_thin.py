@@ -165,3 +165,24 @@ def test_missing_refs(spark):
     e = spark.createDataFrame([(1, "a", None), (2, "b", None)], "dev_id long, ref_name string, thin_block long")
     got, lost = thin.expand_refs(e, spark.createDataFrame([("a", 7)], "def_name string, thin_block long"))
     assert [tuple(r) for r in got.collect()] == [(1, 7)] and [tuple(r) for r in lost.collect()] == [(2, "b")]
+
+
+@pytest.mark.parametrize("bucket", [4, 16, 1 << 20])
+def test_rank_align_over_buckets(spark, bucket):
+    """Ranges longer than buckets, ties of both sides' starts, and free space left over: block by block as by rank."""
+    wanted = [(1000, 3), (1010, 1), (1020, 40), (1100, 7), (1200, 0)]
+    free = [(0, 3), (5, 2), (10, 1), (20, 30), (60, 10**12)]
+    ranges = lambda x: spark.createDataFrame(x, "begin long, len long")
+    got = sorted((r.src_begin + k, r.dst_begin + k) for r in thin.rank_align(ranges(wanted), ranges(free), bucket).collect() for k in range(r.len))
+    blocks = lambda x: [b + k for b, n in x for k in range(min(n, 99))]
+    assert got == list(zip(blocks(wanted), blocks(free)))
+    assert thin.rank_align(ranges(wanted), ranges([]), bucket).count() == 0 and thin.rank_align(ranges([]), ranges(free), bucket).count() == 0
+
+
+def test_remap_runs_in_pieces(spark):
+    """A run with pieces moved at its start, middle and end, one wholly moved, one untouched."""
+    runs = spark.createDataFrame([(1, 0, 100, 10, 5), (2, 7, 100, 2, 1), (3, 50, 900, 4, 0)], "dev_id long, thin_begin long, data_begin long, len long, map_time long")
+    remaps = spark.createDataFrame([(99, 9, 3), (104, 20, 2), (109, 40, 1)], "src_begin long, dst_begin long, len long")
+    moves = {s + k: t + k for s, t, n in [(99, 9, 3), (104, 20, 2), (109, 40, 1)] for k in range(n)}
+    got = sorted((r.dev_id, r.thin_begin + k, r.data_begin + k, r.map_time) for r in thin.remap_runs(runs, remaps).collect() for k in range(r.len))
+    assert got == sorted((d, t + k, moves.get(b + k, b + k), time) for d, t, b, n, time in [(1, 0, 100, 10, 5), (2, 7, 100, 2, 1), (3, 50, 900, 4, 0)] for k in range(n))
