@@ -19,6 +19,8 @@ SALTS = {
     "thin superblock": 160774, "cache superblock": 9031977, "era superblock": 146538381, "bitmap": 240779,
     "index": 160478, "node": 121107, "array": 595846735,
 }
+#: Header of a pack file (fixed values of the format), and the blocks that this writer puts into a chunk.
+PACK_MAGIC, PACK_VERSION, PACK_CHUNK = 0xA537A0AA6309EF77, 3, 1024
 POLYNOMIAL = 0x82F63B78
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .islands import BUCKET, div
 
 
 def space_map_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -87,3 +89,22 @@ def needs_check(outcome: DataFrame, clear: bool, repaired: bool) -> DataFrame:
     """Whether the flag needs_check may be cleared: on request, if nothing fatal was found and non-fatal finds are repaired."""
     ok = (F.col("severity") == 0) | ((F.col("severity") == 1) & F.lit(repaired))
     return outcome.select(F.lit(clear).__and__(ok).alias("clear_flag"))
+
+
+def block_sizes(superblocks: DataFrame) -> DataFrame:
+    """Superblocks whose data_block_size, in sectors, cannot be restored: outside 128 .. 2097152 or no multiple of 128; null is one too."""
+    size = F.col("data_block_size")
+    return superblocks.filter(~F.coalesce(size.between(128, 2097152) & (size % 128 == 0), F.lit(False)))
+
+
+def thin_overlaps(runs: DataFrame, key: str = "dev_id", bucket: int = BUCKET) -> DataFrame:
+    """Runs (key, thin_begin, data_begin, len, ...) that begin before an earlier one of their key ends: a restore takes blocks in rising order.
+
+    Of runs with one start the first by data_begin is the earlier. Windows span a bucket of starts; of each bucket only its furthest end is carried on.
+    """
+    x = runs.filter("len > 0").withColumn("_bucket", div(F.col("thin_begin"), bucket)).withColumn("_end", F.col("thin_begin") + F.col("len"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = x.groupBy(key, "_bucket").agg(F.max("_end").alias("_far")).withColumn("_far", F.max("_far").over(before))
+    within = Window.partitionBy(key, "_bucket").orderBy("thin_begin", "data_begin").rowsBetween(Window.unboundedPreceding, -1)
+    y = x.withColumn("_near", F.max("_end").over(within)).join(carried, [key, "_bucket"])
+    return y.filter(F.col("thin_begin") < F.greatest("_near", "_far")).select(*runs.columns)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schema
-from ..operators import cache, era, thin
+from ..functions import packing
+from ..operators import cache, check, era, thin
 from ..sinks import image as to_image, text
 from ..sources import image, xml
 from . import views as V
@@ -101,6 +102,42 @@ def snk_thin_bin(spark, d):
     return volumes(spark, kept(image.blocks(spark, path))).select("dev_id", F.col("key").alias("thin_block"), block.alias("data_block"), time.alias("map_time"))
 
 
+def packed(spark, d) -> DataFrame:
+    """Blocks of an image after packing and unpacking, with a block of no kind behind them, which is dropped."""
+    path = scratch(spark, "image.pack")
+    img = thin_image(spark, d)
+    n = img.count()
+    stray = spark.range(1).select(F.lit(n).cast("long").alias("loc"), F.expr("cast(repeat('x', 4096) as binary)").alias("data"))
+    to_image.write_pack(img.unionByName(stray), path, n + 1)
+    return image.unpack(spark, path)
+
+
+@query(_KINDS)
+def src_pack(spark, d):
+    return image.with_kind(packed(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("select dev_id, thin_block, data_block, map_time from m")
+def snk_pack(spark, d):
+    """Volumes packed, unpacked and read from the superblock on."""
+    block, time = schema.unpack_block_time(F.col("value"))
+    return volumes(spark, kept(packed(spark, d))).select("dev_id", F.col("key").alias("thin_block"), block.alias("data_block"), time.alias("map_time"))
+
+
+def _set_hex(c: str) -> str:
+    """SQL: the instruction that sets a number, with its operand's bytes from the least on."""
+    byte = lambda k: f"printf('%02x', ({c} >> {8 * k}) & 255)"
+    return f"case when {c} < 256 then '01' || {byte(0)} when {c} < 65536 then '02' || {byte(0)} || {byte(1)} else '04' || {' || '.join(byte(k) for k in range(4))} end"
+
+
+@query(f"select k, to_base64(unhex('06' || {_set_hex('k')} || '1' || printf('%x', n) || '36')) as path, k + n - 6 as leaf from (select o_orderkey as k, 9 + o_custkey % 7 as n from orders)", views=False)
+def fn_path(spark, d):
+    """Paths (superblock, k, k + n, k + n - 6) as text, and the last place of the text read again."""
+    k, n = F.col("o_orderkey"), 9 + F.col("o_custkey") % 7
+    x = V.table(spark, d, "orders").select(k.alias("k"), packing.encode_path(F.array(F.lit(0).cast("long"), k, k + n, k + n - 6)).alias("path"))
+    return x.select("k", "path", F.element_at(packing.decode_path("path"), -1).alias("leaf"))
+
+
 @query("select thin_block as key, (data_block << 24) | map_time as value from m union all select dev_id, null from d")
 def src_node(spark, d):
     """Entries of all leaves with 8-byte values but those of the tree of roots, whose values are places, not mappings."""
@@ -183,6 +220,20 @@ def chk_node(spark, d):
     return image.nodes(damaged, roots=[]).filter("error is not null").select("loc", "error")
 
 
+@query("select p_partkey as k, p_size * 64 as data_block_size from part where p_size * 64 < 128 or p_size * 64 > 2097152 or p_size % 2 = 1", views=False)
+def chk_block_size(spark, d):
+    """Sizes that a restore refuses."""
+    return check.block_sizes(V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 64).alias("data_block_size")))
+
+
+@query(f"""select dev_id, thin_begin, data_begin, n as len, map_time from (select *, max(thin_begin + n) over (partition by dev_id order by thin_begin, data_begin rows between unbounded preceding and 1 preceding) as p
+ from (select dev_id, thin_begin, data_begin, n + case when thin_begin % 5 = 0 then 40 else 0 end as n, map_time from {_RUNS} r) s) t where thin_begin < p""")
+def chk_restore_order(spark, d):
+    """Runs that begin inside an earlier one of their volume, where one in five is 40 blocks too long."""
+    runs = thin.dump_runs(V.thin_mappings(spark, d))
+    return check.thin_overlaps(runs.withColumn("len", F.col("len") + F.when(F.col("thin_begin") % 5 == 0, 40).otherwise(0)))
+
+
 def _document(lines: DataFrame) -> str:
     """Lines as one file: a dump is a document."""
     path = scratch(lines.sparkSession, "dump")

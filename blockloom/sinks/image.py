@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.codec import BLOCK, SALTS, crc32c_rows
+from ..functions.codec import BLOCK, PACK_CHUNK, PACK_MAGIC, PACK_VERSION, SALTS, block_kind, crc32c_rows
+from ..functions.packing import pack_block
 
 # What packs blocks travels to the executors by value: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -122,3 +124,28 @@ def write_file(image: DataFrame, path: str) -> None:
             place += 1
     finally:
         out.close()
+
+
+def packed_chunks(image: DataFrame) -> DataFrame:
+    """(chunk, body): the blocks of an image (loc, data) whose checksum tells a kind, as compressed bytecode, PACK_CHUNK places in a chunk."""
+    known = image.select("loc", "data", block_kind(F.col("data")).alias("kind")).filter("kind <> 'unknown'")
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("loc", "data", "kind"))))
+        body = zlib.compress(b"".join(struct.pack("<Q", loc) + pack_block(data, kind) for loc, data, kind in rows))
+        return pa.table({"chunk": pa.array([rows[0][0] // PACK_CHUNK], pa.int64()), "body": pa.array([body], pa.binary())})
+
+    return known.groupBy(F.call_function("div", F.col("loc"), F.lit(PACK_CHUNK))).applyInArrow(pack, "chunk long, body binary")
+
+
+def write_pack(image: DataFrame, path: str, nr_blocks: int) -> None:
+    """A pack file of an image of nr_blocks blocks; executors compress, the driver writes a chunk at a time. Blocks of unknown kind are dropped."""
+    jvm = image.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(image.sparkSession._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(struct.pack("<QQQQ", PACK_MAGIC, PACK_VERSION, BLOCK, nr_blocks)))
+        for row in packed_chunks(image).orderBy("chunk").toLocalIterator():
+            out.write(bytearray(struct.pack("<Q", len(row.body)) + row.body))
+    finally:
+        out.close()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.codec import BLOCK, block_kind, le_number
+from ..functions.codec import BLOCK, PACK_MAGIC, PACK_VERSION, block_kind, le_number
+from ..functions.packing import Reader
 
 # What decodes blocks travels to the executors by value: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,6 +30,52 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(numbered.map(lambda x: (x[0], bytearray(x[1]))), "loc long, data binary")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The compressed chunks of pack files, one a row."""
+    for batch in batches:
+        for cell in batch.column(0):
+            file = cell.as_buffer()
+            magic, version, size, _ = struct.unpack_from("<QQQQ", file)
+            if magic != PACK_MAGIC:
+                raise ValueError("not a pack file")
+            if version != PACK_VERSION or size != BLOCK:
+                raise ValueError(f"pack file of version {version} with blocks of {size} bytes")
+            at = 32
+            while at < file.size:
+                n = struct.unpack_from("<Q", file, at)[0] if at + 8 <= file.size else file.size
+                if at + 8 + n > file.size:
+                    raise ValueError("pack file ends early")
+                yield pa.RecordBatch.from_arrays([pa.array([file.slice(at + 8, n).to_pybytes()], pa.binary())], ["body"])
+                at += 8 + n
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cell in batch.column(0):
+            code = Reader(zlib.decompress(cell.as_py()))
+            locs, blocks = [], []
+            while code.at < len(code.code):
+                locs.append(int.from_bytes(code.take(8), "little"))
+                code.last = 0
+                blocks.append(code.run(BLOCK))
+                if len(blocks[-1]) != BLOCK:
+                    raise ValueError(f"packed block {locs[-1]} has {len(blocks[-1])} bytes")
+            yield pa.RecordBatch.from_arrays([pa.array(locs, pa.int64()), pa.array(blocks, pa.binary())], ["loc", "data"])
+
+
+def unpack(spark: SparkSession, path: str) -> DataFrame:
+    """loc, data of each block of a pack file of up to 2 GB. One task cuts it into chunks, which are decoded apart.
+
+    Places without a block are zero in the image that was packed or of unknown kind there; they have no row. A file that is none, of another version, cut
+    off or with broken code raises.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen() < 32:  # an empty file would be no row
+        raise ValueError("not a pack file")
+    chunks = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_chunks, "body binary")
+    return chunks.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_unpacked, "loc long, data binary")
+
+
 def with_kind(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", block_kind(F.col("data")))
 

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom import schema
-from blockloom.functions import codec, scalar
+from blockloom.functions import codec, packing, scalar
 from blockloom.operators import thin
-from blockloom.sinks import text
+from blockloom.sinks import image as to_image, text
 from blockloom.sources import image, xml
 
 
@@ -181,3 +181,68 @@ def test_cache_and_era_xml(spark, tmp_path):
 def test_grid(spark):
     df = spark.createDataFrame([(1, "abc"), (20, "x")], "dev long, n string")
     assert [r.line for r in text.grid(df, ["dev"]).collect()] == ["dev   n ", "  1 abc ", " 20   x "]
+
+
+def played(code, n):
+    reader = packing.Reader(code)
+    out = np.frombuffer(reader.run(8 * n), "<u8").tolist()
+    assert reader.at == len(code)
+    return out
+
+
+def test_packed_numbers():
+    """Bytes of each instruction, worked out by hand; then whatever numbers come back."""
+    assert packing.pack_numbers([]) == b"" and packing.pack_numbers([7]) == bytes([0x01, 7])
+    assert packing.pack_numbers([300, 302, 304, 306]) == bytes([0x02, 0x2C, 1, 0x73, 0x12])
+    assert packing.pack_numbers([70000, 69999, 69999]) == bytes([0x04, 0x70, 0x11, 1, 0, 0x31, 0x51])
+    assert packing.pack_numbers([0] * 21) == bytes([0x01, 0, 0x60, 20]) and packing.pack_numbers([0, 16]) == bytes([0x01, 0, 0x21, 16])
+    assert packing.pack_numbers([1 << 32, 0])[0] == 0x08 and packing.pack_numbers([1 << 32, 0])[9] == 0x48
+    assert packing.pack_split([(5 << 24) | 1, (6 << 24) | 1]) == bytes([0xB0, 2, 0x01, 5, 0x11, 0x01, 1, 0x51])
+    rng = np.random.default_rng(3)
+    top = (1 << 64) - 1
+    for numbers in [[top, 0, top], [0] * 9000, list(range(0, 30000, 3)), rng.integers(0, top, 500, dtype=np.uint64).tolist(), np.cumsum(rng.integers(0, 3, 2000)).tolist()]:
+        assert played(packing.pack_numbers(numbers), len(numbers)) == numbers
+        assert played(packing.pack_split(numbers[:4000]), len(numbers[:4000])) == numbers[:4000]
+    for n in (0, 15, 16, 255, 256, 4096, 70000):
+        data = rng.bytes(n)
+        assert packing.Reader(packing.pack_bytes(data)).run(n) == data
+    for bad in (b"\xf0", b"\x03\x01", b"\x04\x01", b"", b"\x9f\x01"):
+        with pytest.raises(ValueError):
+            packing.Reader(bad).run(8)
+
+
+def test_packed_paths(spark):
+    paths = [[], [0], [0, 0], [1], [0, 1, 2], [9, 5, 1 << 40], [0, *range(3, 130)], None]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k long, p array<bigint>").withColumn("t", packing.encode_path("p"))
+    got = {r.k: (r.t, r.q) for r in df.select("k", "t", packing.decode_path("t").alias("q")).collect()}
+    assert [got[k][1] for k in range(len(paths))] == paths
+    assert got[0][0] == "AQ==" and got[1][0] == "AA=="  # one byte: no place, and the superblock alone
+    for bad in ("", "AQ", "BA==", "!!!!"):
+        with pytest.raises(ValueError):
+            packing.text_path(bad)
+
+
+def test_pack_file(spark, tmp_path):
+    """Nodes of both value sizes, an inner node, a superblock, a node whose header lies; a block of no kind goes."""
+    keys = lambda n: [5 * k for k in range(n)]
+    nodes = spark.createDataFrame([(1, True, keys(200), [(k + 9) << 24 | k % 3 for k in range(200)]), (2, False, keys(90), list(range(90))), (3000, True, [], [])], "loc long, is_leaf boolean, keys array<long>, values array<long>")
+    details = spark.createDataFrame([(4, True, keys(3), [bytes([k]) * 24 for k in range(3)])], "loc long, is_leaf boolean, keys array<long>, values array<binary>")
+    top = to_image.pack_superblock(spark.range(1).select(F.lit(27022010).alias("magic")), "thin", [("magic", 32, 8)])
+    lying = bytearray(4096)
+    struct.pack_into("<IIQIII", lying, 0, 0, 2, 7, 1, 60000, 8)
+    lying = to_image.seal(np.frombuffer(bytes(lying), np.uint8).reshape(1, -1).copy(), "node").tobytes()
+    rest = spark.createDataFrame([(7, bytearray(lying)), (8, bytearray(b"x" * 4096))], "loc long, data binary")
+    img = to_image.pack_nodes(nodes).unionByName(to_image.pack_nodes(details, 24)).unionByName(top).unionByName(rest)
+    path = tmp_path / "image.pack"
+    to_image.write_pack(img, str(path), 3001)
+    data = path.read_bytes()
+    assert struct.unpack_from("<QQQQ", data) == (0xA537A0AA6309EF77, 3, 4096, 3001) and len(data) < 4096
+    want = {r.loc: bytes(r.data) for r in img.collect() if r.loc != 8}
+    got = image.unpack(spark, str(path)).collect()
+    assert len(got) == len(want) and {r.loc: bytes(r.data) for r in got} == want
+    to_image.write_pack(img.limit(0), str(path), 5)
+    assert image.unpack(spark, str(path)).count() == 0
+    for k, bad in enumerate((b"", b"x" * 40, data[:8] + b"\4" + data[9:], data[:-3], data + b"\1")):
+        (tmp_path / f"bad{k}").write_bytes(bad)
+        with pytest.raises(Exception, match="pack file"):
+            image.unpack(spark, str(tmp_path / f"bad{k}")).collect()

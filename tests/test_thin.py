@@ -186,3 +186,12 @@ def test_remap_runs_in_pieces(spark):
     moves = {s + k: t + k for s, t, n in [(99, 9, 3), (104, 20, 2), (109, 40, 1)] for k in range(n)}
     got = sorted((r.dev_id, r.thin_begin + k, r.data_begin + k, r.map_time) for r in thin.remap_runs(runs, remaps).collect() for k in range(r.len))
     assert got == sorted((d, t + k, moves.get(b + k, b + k), time) for d, t, b, n, time in [(1, 0, 100, 10, 5), (2, 7, 100, 2, 1), (3, 50, 900, 4, 0)] for k in range(n))
+
+
+@pytest.mark.parametrize("bucket", [4, 1 << 20])
+def test_restore_checks(spark, bucket):
+    runs = spark.createDataFrame([(1, 0, 0, 30, 0), (1, 9, 50, 2, 0), (1, 29, 60, 1, 0), (1, 30, 70, 5, 0), (2, 9, 0, 1, 0), (2, 9, 80, 1, 0), (2, 3, 90, 0, 0), (3, 5, 1, 5, 0), (3, 10, 1, 5, 0)],
+                                 "dev_id long, thin_begin long, data_begin long, len long, map_time long")
+    assert sorted((r.dev_id, r.thin_begin, r.data_begin) for r in check.thin_overlaps(runs, bucket=bucket).collect()) == [(1, 9, 50), (1, 29, 60), (2, 9, 80)]
+    sizes = spark.createDataFrame([(128,), (64,), (192,), (2097152,), (2097280,), (None,), (256,)], "data_block_size long")
+    assert [r[0] for r in check.block_sizes(sizes).collect()] == [64, 192, 2097280, None]
