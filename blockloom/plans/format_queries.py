@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schema
 from ..functions import packing
-from ..operators import cache, check, era, thin
+from ..operators import cache, check, era, repair, thin
 from ..sinks import image as to_image, text
 from ..sources import image, xml
 from . import views as V
@@ -220,6 +220,22 @@ def chk_node(spark, d):
     return image.nodes(damaged, roots=[]).filter("error is not null").select("loc", "error")
 
 
+@query(_BLOCKS + """, t as (select (select sum(blocks) from bl)::bigint + 1 as top)
+select top as mapping_root, top + 2 as details_root, greatest((select max(map_time) from m), (select max(greatest(creation_time, snapshotted_time)) from d))::bigint as time, (select max(transaction_id) + 1 from d)::bigint as transaction_id,
+(select max(data_block) + 1 from m)::bigint as nr_data_blocks, (select string_agg(map_time || ':' || n, ',' order by map_time desc) from (select map_time, count(*) as n from m group by all)) as history from t""")
+def op_discover_roots(spark, d):
+    """Roots of a pool without its superblock; of its two trees of details the first has a wrong count, the second the right ones."""
+    img = thin_image(spark, d)
+    n = img.count()
+    counts = V.thin_mappings(spark, d).groupBy("dev_id").agg(F.count("*").alias("n"))
+    fixed = V.thin_devices(spark, d).join(counts, "dev_id")
+    detail = F.concat(little(F.col("n"), 8), little(F.col("transaction_id"), 8), little(F.col("creation_time"), 4), little(F.col("snapshotted_time"), 4))
+    more, _ = to_image.pack_trees(fixed.select(F.lit(0).cast("long").alias("tree"), F.col("dev_id").alias("key"), detail.alias("value")), n, 24)
+    rest = kept(img.filter("loc > 0").unionByName(more))
+    found = repair.discover(decoded(rest), decoded(rest, 24), n + more.count())
+    return found.withColumn("history", F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["time"], h["n"])), ","))
+
+
 @query("select p_partkey as k, p_size * 64 as data_block_size from part where p_size * 64 < 128 or p_size * 64 > 2097152 or p_size % 2 = 1", views=False)
 def chk_block_size(spark, d):
     """Sizes that a restore refuses."""

@@ -190,10 +190,15 @@ def iterate(entries: DataFrame, start: int, steps: int) -> DataFrame:
     return entries.filter(F.col("key") >= start).withColumn("step", at).filter(F.col("step") <= steps)
 
 
-def device_details(entries: DataFrame) -> DataFrame:
-    """dev_id, mapped_blocks, transaction_id, creation_time, snapshotted_time of leaves with 24-byte values."""
+def details_columns() -> list[Column]:
+    """dev_id, mapped_blocks, transaction_id, creation_time, snapshotted_time of an entry (key, raw) with 24 bytes."""
     f = lambda at, n: le_number(F.col("raw"), at + 1, n)
-    return entries.select(F.col("key").alias("dev_id"), f(0, 8).alias("mapped_blocks"), f(8, 8).alias("transaction_id"), f(16, 4).alias("creation_time"), f(20, 4).alias("snapshotted_time"))
+    return [F.col("key").alias("dev_id"), f(0, 8).alias("mapped_blocks"), f(8, 8).alias("transaction_id"), f(16, 4).alias("creation_time"), f(20, 4).alias("snapshotted_time")]
+
+
+def device_details(entries: DataFrame) -> DataFrame:
+    """The details in leaves with 24-byte values, as details_columns()."""
+    return entries.select(*details_columns())
 
 
 def bitmap_counts(data: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockloom import schema
 from blockloom.functions import codec, packing, scalar
-from blockloom.operators import thin
+from blockloom.operators import repair, thin
 from blockloom.sinks import image as to_image, text
 from blockloom.sources import image, xml
 
@@ -246,3 +246,26 @@ def test_pack_file(spark, tmp_path):
         (tmp_path / f"bad{k}").write_bytes(bad)
         with pytest.raises(Exception, match="pack file"):
             image.unpack(spark, str(tmp_path / f"bad{k}")).collect()
+
+
+def test_discover_roots(spark):
+    """A pool of two volumes, an older tree with one of them, and a tree that points at no node; with details for the pool, then without."""
+    mapping = lambda k, t: ((k + 400) << 24) | t
+    entries = [(1, k, mapping(k, k % 3)) for k in range(600)] + [(2, k, mapping(900 + k, 7)) for k in range(5)]
+    trees, roots = to_image.pack_trees(spark.createDataFrame(entries, "tree long, key long, value long"), 1)
+    at = {r.tree: r.root for r in roots.collect()}
+    n = trees.count() + 1
+    tops = [(n, True, [1, 2], [at[1], at[2]]), (n + 1, True, [1], [at[1]]), (n + 2, True, [1, 2], [at[1], n + 9])]
+    top = to_image.pack_nodes(spark.createDataFrame(tops, "loc long, is_leaf boolean, keys array<long>, values array<long>"))
+    detail = lambda mapped, tid, time: struct.pack("<QQII", mapped, tid, time, time)
+    trees24 = [(n + 3, True, [1, 2], [detail(600, 4, 1), detail(5, 6, 9)]), (n + 4, True, [1, 2], [detail(600, 4, 1), detail(6, 6, 9)]), (n + 5, True, [1, 3], [detail(600, 4, 1), detail(5, 6, 9)])]
+    details = to_image.pack_nodes(spark.createDataFrame(trees24, "loc long, is_leaf boolean, keys array<long>, values array<binary>"), 24)
+
+    def found(img):
+        img = img.persist()
+        return [(*tuple(r)[:5], [tuple(h) for h in r.history]) for r in repair.discover(image.nodes(img, roots=None).persist(), image.nodes(img, 24, roots=None).persist(), n + 6).collect()]
+
+    history = [(2, 200), (1, 200), (0, 200)]
+    assert found(trees.unionByName(top).unionByName(details)) == [(n, n + 3, 9, 7, 900 + 4 + 401, [(7, 5), *history])]
+    assert found(trees.unionByName(top)) == [(n, None, 8, 1, 1305, [(7, 5), *history]), (n + 1, None, 3, 1, 1000, history)]
+    assert found(trees.limit(0)) == []
