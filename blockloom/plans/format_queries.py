@@ -251,9 +251,11 @@ def chk_restore_order(spark, d):
 
 
 def _document(lines: DataFrame) -> str:
-    """Lines as one file: a dump is a document."""
-    path = scratch(lines.sparkSession, "dump")
-    lines.coalesce(1).write.text(path)
+    """Lines as one file: a dump is a document. Executors write its parts, the driver puts their bytes one behind the other."""
+    spark = lines.sparkSession
+    parts, path = scratch(spark, "lines"), scratch(spark, "dump.xml")
+    lines.write.text(parts)
+    text.join_files(spark, parts, path)
     return path
 
 
@@ -261,7 +263,8 @@ def _document(lines: DataFrame) -> str:
 def src_xml_thin(spark, d):
     """Runs of a volume dump, written and read; unknown attributes raise."""
     sb = spark.range(1).selectExpr("'a&\"b<' as uuid", "6 as time", "7 as transaction", "2 as version", "128 as data_block_size", "3000000 as nr_data_blocks")
-    read = xml.read_thin(spark, _document(text.thin_xml(sb, V.thin_devices(spark, d), thin.dump_runs(V.thin_mappings(spark, d)))))
+    m = kept(V.thin_mappings(spark, d))
+    read = xml.read_thin(spark, _document(text.thin_xml(sb, V.devices_of(m), kept(thin.dump_runs(m)))))
     if read["superblock"].first().uuid != 'a&"b<':
         raise ValueError("the text of an attribute changed")
     return read["runs"]

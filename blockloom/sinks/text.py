@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 #: Attributes that hold numbers only.
@@ -124,6 +124,26 @@ def era_xml(sb: DataFrame, eras: DataFrame, marked: DataFrame, array: DataFrame,
                     fixed("  <era_array>", 2), _at(array, element("era", indent=4, block=c("block"), era=c("era")), 3, 0, c("block")), fixed("  </era_array>", 4), fixed("</superblock>", 5))
 
 
+def join_files(spark: SparkSession, parts: str, path: str) -> None:
+    """The files of a folder in order of name as one file; the folder goes. Bytes are copied by the driver's JVM."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, at = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), key=lambda n: (len(n.split("-")[1]) if n.startswith("part-") else 0, n))
+    out = fs.create(at, True)
+    try:
+        for name in names:
+            if name.startswith("part-"):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+
+
 def grid(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows right-justified to the widest cell of each column, names first; each cell is followed by a space. The widths are one aggregate row."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]

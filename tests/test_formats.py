@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blockloom import schema
 from blockloom.functions import codec, packing, scalar
 from blockloom.operators import repair, thin
+from blockloom.plans import format_queries
 from blockloom.sinks import image as to_image, text
 from blockloom.sources import image, xml
 
@@ -161,6 +162,57 @@ def test_thin_xml_round_trip(spark, tmp_path):
         xml.read_thin(spark, str(tmp_path / "bad.xml"), strict=False)["devices"].collect()
 
 
+def test_thin_xml_in_splits(spark, tmp_path):
+    """A dump is read in splits, with comments, other spellings and devices that cross them; what is broken raises."""
+    doc = """<?xml version="1.0" encoding="UTF-8"?>
+<!-- <device dev_id="9"> --><!-- a > b
+<single_mapping origin_block="1" data_block="2" time="3"/>
+-->
+<superblock uuid="a&amp;&quot;&#x41;&#10;-->" time='6' transaction="7" data_block_size="128" nr_data_blocks="3000000">
+<def name="d &lt; 'x' time=&quot;5&quot;"><range_mapping length="3" origin_begin="1" data_begin="5" time="0"/><single_mapping origin_block="1" data_block="2" time="3"/></def>
+  <device dev_id="1" mapped_blocks="4" transaction="1" creation_time="0" snap_time="0">
+    <single_mapping origin_block="10" data_block="20" time="3"/> text
+    <!-- gone: <range_mapping origin_begin="1" data_begin="5" length="3" time="0"/>
+    <single_mapping origin_block="11" data_block="21" time="3"/> --><single_mapping  origin_block = '12' data_block="22" time="3" />
+    <ref name="d &lt; 'x' time=&quot;5&quot;"/>
+  </device>
+  <device dev_id="2" mapped_blocks="0" transaction="1" creation_time="0" snap_time="0"/>
+"""
+    for d in range(3, 12):
+        runs = "".join(f'    <range_mapping origin_begin="{k}" data_begin="{k + 1}" length="2" time="0"/>\n' for k in range(0, d * 7, 3))
+        doc += f'  <device dev_id="{d}" mapped_blocks="9" transaction="1" creation_time="0" snap_time="0">\n{runs}  </device>\n'
+    doc += "</superblock>\n"
+    want = sorted([(1, 10, 20, 1, 3), (1, 12, 22, 1, 3)] + [(d, k, k + 1, 2, 0) for d in range(3, 12) for k in range(0, d * 7, 3)])
+    path = tmp_path / "dump.xml"
+    conf = {"spark.sql.files.maxPartitionBytes": "600", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        path.write_text(doc)
+        got = xml.read_thin(spark, str(path))
+        assert xml._tags(spark, str(path)).rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, got["runs"].collect())) == want
+        assert got["superblock"].first().uuid == 'a&"A\n-->' and sorted(r.dev_id for r in got["devices"].collect()) == [*range(1, 12)]
+        name = "d < 'x' time=\"5\""
+        assert [tuple(r) for r in got["refs"].collect()] == [(1, name)] and sorted(map(tuple, got["defs"].collect())) == [(name, 1, 2, 1, 3), (name, 1, 5, 3, 0)]
+        for a, b, why in [('creation_time="0"', 'creation_tim="0"', "unknown attributes"), (' transaction="7"', "", "transaction is missing"), ("</superblock>", "", "not complete"), ("</device>", "", "may not"),
+                          ('data_block="20"', 'data_block="x"', "no number"), ('data_block="20"', 'data_block="20" foo="1"', "unknown attributes"), ("<ref ", "<reff ", "unknown: <reff")]:
+            path.write_text(doc.replace(a, b, 1))
+            with pytest.raises(ValueError, match=why):
+                xml.read_thin(spark, str(path))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_thin_document_is_written_by_executors(spark):
+    """Parts of a dump are written side by side and follow each other in one file."""
+    lines = spark.range(0, 50000, 1, 12).selectExpr("cast(id as string) as line")
+    path = format_queries._document(lines)
+    assert spark.read.text(path).inputFiles()[0].endswith("dump.xml") and [int(r.value) for r in spark.read.text(path).collect()] == [*range(50000)]
+
+
 def test_cache_and_era_xml(spark, tmp_path):
     sb = spark.range(1).selectExpr("'x' as uuid", "512 as block_size", "9 as nr_cache_blocks", "'smq' as policy", "4 as hint_width")
     c = spark.createDataFrame([(1, 5, 1), (2, 6, 0)], "cblock long, oblock long, is_dirty int")
